@@ -31,16 +31,19 @@ def _unquoted(field: Column) -> Column:
     return F.when(field.startswith('"'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(field)
 
 
-def _point(text: Column) -> Column:
-    """A data point as a struct of its three values and ``reason`` (null where it is valid)."""
-    row = F.from_csv(text, POINT_SCHEMA, _READ)
-    parts = F.size(F.split(text, ",", -1))
+def _points(texts: Column) -> Column:
+    """Data points as structs of their three values and ``reason`` (null where valid), for an array of raw texts."""
+    read = F.transform(texts, lambda x: F.struct(x.alias("text"), F.from_csv(x, POINT_SCHEMA, _READ).alias("row")))  # read once each
+    return F.transform(read, _judged)
+
+
+def _judged(point: Column) -> Column:
+    text, row = point["text"], point["row"]
     year, match, volume = row["year"], row["match_count"], row["volume_count"]
     reason = (
         F.when(F.length(text) == 0, "empty point")
-        .when(parts != 3, "point without three numbers")
+        .when(row["raw"].isNotNull() & (F.size(F.split(text, ",", -1)) != 3), "point without three numbers")
         .when(~text.rlike(_POINT), "point with an invalid number")
-        .when(row["raw"].isNotNull() & (match.isNull() | volume.isNull()), "count beyond 64 bits")
         .when(match.isNull() | volume.isNull(), "count beyond 64 bits")
         .when(~year.between(*YEARS), "year out of range")
         .when(match < 1, "match count below 1")
@@ -60,7 +63,7 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
         "kl_whole", F.length(F.array_join("kl_fields", "\t")) == F.length(raw)
     )
     read = fields.withColumn("kl_token", _unquoted(F.col("kl_fields")[0])).withColumn(
-        "kl_points", F.transform(F.slice("kl_fields", 2, F.greatest(F.size("kl_fields") - 1, F.lit(0))), lambda x: _point(_unquoted(x)))
+        "kl_points", _points(F.transform(F.slice("kl_fields", 2, F.greatest(F.size("kl_fields") - 1, F.lit(0))), _unquoted))
     )
     wrong = F.filter("kl_points", lambda x: x["reason"].isNotNull())
     reason = (
@@ -77,7 +80,7 @@ def parse_points(df: DataFrame, point: str = "data_point") -> DataFrame:
     """``df`` with ``kl_point`` (year, match_count, volume_count) and ``kl_reason``, null for a valid point."""
     raw = df[point]
     whole = raw.rlike(r'\A(?:"[^"]*+(?:""[^"]*+)*+"|[^"\t]*+)\z')
-    read = df.withColumn("kl_point", _point(_unquoted(raw)))
+    read = df.withColumn("kl_point", F.get(_points(F.array(_unquoted(raw))), F.lit(0)))
     reason = (
         F.when(raw.isNull(), "null point")
         .when(~whole & raw.contains('"'), "broken quoting")
