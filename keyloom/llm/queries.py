@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm.heavy import heavy_items
 from keyloom.llm.terms import term_frequencies, term_verdicts
+from keyloom.llm.tokens import decode_corpus, encode_corpus
 from keyloom.session import table
 
 
@@ -26,7 +27,15 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     return heavy_items(table(spark, d, "wordlist"), "word", "row_id", "word_count").selectExpr("item AS word", "weight AS occurrences")
 
 
-QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_weights": p4_weights}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return decode_corpus(encode_corpus(table(spark, d, "documents")))
+
+
+QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_weights": p4_weights, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 _ONCE = "with u as (select distinct row_id, word, coalesce(word_count, 0) word_count from wordlist)"
 SQL = {
@@ -37,4 +46,5 @@ select word, case when r > 0.004 * n then 'common' else 'rare' end as verdict fr
     "p4_found": _ONCE + " select word from u where word is not null group by word having sum(word_count) * 1000 >= (select sum(word_count) from u)",
     "p4_weights": _ONCE
     + " select word, sum(word_count)::bigint as occurrences from u where word is not null group by word having sum(word_count) * 1000 >= (select sum(word_count) from u)",
+    "p6_roundtrip": "select doc_id, coalesce(text, '') as text from documents",
 }
