@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm.heavy import heavy_items
+from keyloom.llm.lookalike import disguised_words
+from keyloom.llm.mojibake import damaged_words
 from keyloom.llm.terms import term_frequencies, term_verdicts
 from keyloom.llm.tokens import decode_corpus, encode_corpus
 from keyloom.session import table
@@ -19,6 +21,11 @@ def p2_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return term_frequencies(table(spark, d, "wordlist"), "word", "row_id", "word_count").withColumnRenamed("term", "word")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "wordlist").select("row_id", "word")
+    return disguised_words(rows, "word", table(spark, d, "lexicon"), "word").selectExpr("row_id", "kl_form AS word").distinct()
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy_items(table(spark, d, "wordlist"), "word", "row_id", "word_count").selectExpr("item AS word")
 
@@ -27,6 +34,11 @@ def p4_weights(spark: SparkSession, d: str) -> DataFrame:
     return heavy_items(table(spark, d, "wordlist"), "word", "row_id", "word_count").selectExpr("item AS word", "weight AS occurrences")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "wordlist").select("row_id", "word")
+    return damaged_words(rows, "word", table(spark, d, "lexicon"), "word").selectExpr("row_id", "kl_form AS word").distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"))
 
@@ -35,7 +47,7 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(encode_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p4_found": p4_found, "p4_weights": p4_weights, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p4_found": p4_found, "p4_weights": p4_weights, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
 
 _ONCE = "with u as (select distinct row_id, word, coalesce(word_count, 0) word_count from wordlist)"
 SQL = {
