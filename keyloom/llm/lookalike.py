@@ -193,6 +193,16 @@ class Model:
             self.two[a, b] += n
             self.one[c] += n
         self.all = sum(self.one.values()) or 1
+        self._options: dict[str, tuple[str, ...]] = {}
+
+    def options(self, cluster: str, script: str) -> tuple[str, ...]:
+        """Clusters of the script that this one may stand for: those the reference is written with, else itself."""
+        if (known := self._options.get(cluster)) is None:
+            alike = _readings(cluster)
+            both = (*alike.get(script, ()), *alike.get("", ()))
+            own = both[:1] if both and both[0] == cluster else ()
+            known = self._options[cluster] = tuple(c for c in both if c in self.one) or own
+        return known
 
     def score(self, a: str, b: str, c: str) -> float:
         n = self.three.get((a, b, c), 0)
@@ -202,21 +212,24 @@ class Model:
 
 def readings(word: str, models: dict[str, Model], paths: int = PATHS) -> list[str]:
     """The best ``paths`` spellings of a word, each within one script, best first; scripts that can't spell it have none."""
-    lattice = [_readings(c) for c in _clusters(plain(word))]
-    if not lattice:
-        return []
-    scripts = set(models)
-    for options in lattice:
-        if "" not in options:
-            scripts &= set(options)
-    ways = {s: [(*options.get(s, ()), *options.get("", ())) for options in lattice] for s in scripts}
+    clusters = _clusters(plain(word))
+    ways = {}
+    for script, model in models.items():
+        options = []
+        for c in clusters:
+            if not (own := model.options(c, script)):
+                break
+            options.append(own)
+        else:
+            if options:
+                ways[script] = options
     if len(ways) == 1 and all(len(x) == 1 for own in ways.values() for x in own):
         return ["".join(x[0] for own in ways.values() for x in own)]
     found: list[tuple[float, str]] = []
-    for script in scripts:
+    for script, way in ways.items():
         model = models[script]
         states: dict[tuple[str, str], list[tuple[float, str]]] = {("^", "^"): [(0.0, "")]}
-        for own in ways[script]:
+        for own in way:
             following: dict[tuple[str, str], list[tuple[float, str]]] = defaultdict(list)
             for (a, b), held in states.items():
                 for c in own:
