@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm.heavy import heavy_items
+from keyloom.llm.leak import leaked_items
 from keyloom.llm.lookalike import disguised_words
 from keyloom.llm.mojibake import damaged_words
+from keyloom.llm.sentences import sentences
 from keyloom.llm.terms import term_frequencies, term_verdicts
 from keyloom.llm.tokens import decode_corpus, encode_corpus
 from keyloom.session import table
@@ -47,7 +49,19 @@ def p6_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return decode_corpus(encode_corpus(table(spark, d, "documents")))
 
 
-QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p4_found": p4_found, "p4_weights": p4_weights, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
+def p7_near(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text", slack=1)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p4_found": p4_found, "p4_weights": p4_weights, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}
 
 _ONCE = "with u as (select distinct row_id, word, coalesce(word_count, 0) word_count from wordlist)"
 SQL = {
