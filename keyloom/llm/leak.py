@@ -159,7 +159,7 @@ def leaked_items(
     spark = corpus.sparkSession
     rows = tests.select(tests[item_id].cast("bigint").alias("kl_item"), tests[passage].alias("kl_text")).filter("kl_item IS NOT NULL AND kl_text IS NOT NULL")
     count = rows.count()
-    split = F.udf(words_of, "array<string>")
+    split = F.udf(words_of, "array<string>", useArrow=True)
     vocabulary = rows.select(F.explode(split("kl_text")).alias("t")).distinct()
     terms = [r.t for r in vocabulary.limit(TERMS + 1).collect()] if count <= TERMS else None
     index = build_index(corpus, doc_id, text, sorted(terms) if terms is not None and len(terms) <= TERMS else None)

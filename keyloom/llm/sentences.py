@@ -37,6 +37,8 @@ _SCRIPTS = (
     ("ko", re.compile("[가-힣]")), ("he", re.compile("[֐-׿]")), ("hy", re.compile("[԰-֏]")), ("ka", re.compile("[Ⴀ-ჿ]")),
 )
 _LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]+")
+_BEYOND_LATIN = re.compile("[Ͱ-ᷟἀ-῿ぁ-￿]")
 
 _ANNOUNCED = re.compile(r"\s*-{2,}\s*[^-\s].*[^-\s]\s*-{2,}\s*")
 _RULE = re.compile(r"_{10,}")
@@ -45,15 +47,16 @@ _SALUTATION = re.compile(r"[,:，：、،؛՝፣፥፦﹕﹐]\s*\Z")
 
 def language_of(block: str) -> str:
     """Language of a block: by its script, in the Latin script by its function words."""
-    letters = _LETTER.findall(block)
-    for name, pattern in _SCRIPTS:
-        n = len(pattern.findall(block))
-        if name == "zh" and n and len(_SCRIPTS[2][1].findall(block)):
-            name = "ja"
-        if n * 2 > len(letters) or (name in ("ja", "zh") and n * 3 > len(letters)):
-            return name
+    if not block.isascii() and _BEYOND_LATIN.search(block):
+        letters = len(_LETTER.findall(block))
+        for name, pattern in _SCRIPTS:
+            n = len(pattern.findall(block))
+            if name == "zh" and n and len(_SCRIPTS[2][1].findall(block)):
+                name = "ja"
+            if n * 2 > letters or (name in ("ja", "zh") and n * 3 > letters):
+                return name
     votes: dict[str, float] = {}
-    for w in re.findall(r"[^\W\d_]+", block.lower()):
+    for w in _LETTERS.findall(block.lower()):
         for k in (known := _FUNCTION.get(w, ())):
             votes[k] = votes.get(k, 0) + 1 / len(known)
     return max(votes, key=lambda k: (votes[k], k)) if votes else "en"
@@ -77,7 +80,11 @@ OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」"
 CLOSERS = "”»›」』）)]》〉】"
 _HARD = "!?！？。．｡؟।॥።፧፨۔‼⁇⁈⁉;;"
 _SPAN = re.compile("[.…!?！？。．｡؟।॥።፧፨۔‼⁇⁈⁉;;]+")
-_WORD_BEFORE = re.compile(r"[^\s“„”«»‹›\"「」『』（）()\[\]—–/…。！？．｡。、，：।።]*\Z")
+_PARTING = re.compile(r"[\s“„”«»‹›\"「」『』（）()\[\]—–/…。！？．｡、，：।።]")
+_QUOTE = re.compile("[" + re.escape("".join(OPENERS) + CLOSERS + '"“»«”') + "]")
+_NEXT = re.compile(r"\S")
+#: Characters around a mark that are looked at.
+AROUND = 60
 _PIECES = re.compile(r"(?:[^\W\d_]{1,4}[.\-’']*)+\Z")
 _NUMBER = re.compile(r"[+\-]?\d[\d.,:/\-]*\Z")
 
@@ -89,7 +96,7 @@ class Mark(NamedTuple):
     stop: int  # after the closing signs
     kind: str  # dot, dots or hard
     before: str  # the word before, in lower case
-    after: str  # rest of the block after stop, blanks taken off
+    after: str  # what follows behind blanks, as far as it is looked at
     spaced: bool  # whether a blank or the block's end follows
     quoted: str  # closing signs that follow at once
     inside: bool  # whether an outer quote or bracket stays open
@@ -100,9 +107,8 @@ def _pairs(text: str) -> dict[int, int]:
     """Closing to opening place of quotes and brackets that are closed within the block."""
     held: list[tuple[str, int]] = []
     out: dict[int, int] = {}
-    for k, c in enumerate(text):
-        if c not in OPENERS and c not in CLOSERS and c not in "\"“»«":
-            continue
+    for m in _QUOTE.finditer(text):
+        k, c = m.start(), m[0]
         if held and (c == '"' and held[-1][0] == '"' or c in OPENERS.get(held[-1][0], "") or held[-1][0] == "»" and c == "«" or held[-1][0] == "”" and c == "”"):
             out[k] = held.pop()[1]
             continue
@@ -123,31 +129,35 @@ def marks(text: str) -> Iterator[Mark]:
     """The marks of a block in their order."""
     pairs = _pairs(text)
     spans = sorted((a, b) for b, a in pairs.items())
+    size, next_span, reach = len(text), 0, -1
     for m in _SPAN.finditer(text):
         run, start, stop = m.group(), m.start(), m.end()
+        if run == "." and stop < size and text[stop].isalnum():
+            continue
         opened, signs = -1, ""
         at = stop
-        while at < len(text):  # closing signs right behind, in French after a blank
-            if at in pairs and pairs[at] < start:
+        while at < size:  # closing signs right behind, in French after a blank
+            if pairs.get(at, size) < start:
                 opened, signs, at = pairs[at], signs + text[at], at + 1
                 stop = at
-            elif text[at] in "   \n" and at + 1 in pairs and pairs[at + 1] < start and text[at + 1] in "»":
+            elif text[at] in " \u00a0\u202f\n" and text[at + 1 : at + 2] == "»" and pairs.get(at + 1, size) < start:
                 at += 1
             else:
                 break
-        before = _WORD_BEFORE.search(text, max(0, start - 60), start).group() if start and not text[start - 1].isspace() else ""
-        gap = ""
-        if not before and start:
-            head = text[max(0, start - 60) : start].rstrip()
-            gap = " "
-            before = _WORD_BEFORE.search(head).group()
-        rest = text[stop:]
-        after = rest.lstrip()
-        dots = run.count(".") + 2 * run.count("…")
-        hard = any(c in _HARD for c in run)
-        kind = "hard" if hard else "dots" if dots > 1 or gap and run == "…" else "dot"
-        inside = any(a < start and b >= stop for a, b in spans)
-        yield Mark(start, stop, kind, before.lower(), after, not rest or rest[0].isspace(), signs, inside, opened)
+        head = text[max(0, start - AROUND) : start]
+        bare = head.rstrip()
+        before = _PARTING.split(bare)[-1]
+        follows = _NEXT.search(text, stop)
+        after = text[follows.start() : follows.start() + AROUND] if follows else ""
+        if any(c in _HARD for c in run):
+            kind = "hard"
+        else:
+            dots = run.count(".") + 2 * run.count("…")
+            kind = "dots" if dots > 1 else "dot"
+        while next_span < len(spans) and spans[next_span][0] < start:
+            reach = max(reach, spans[next_span][1])
+            next_span += 1
+        yield Mark(start, stop, kind, before.lower(), after, not follows or follows.start() > stop, signs, reach >= stop, opened)
 
 
 _FIRST = re.compile(r"[¿¡\"“„«»「『（(\[‹—–\-\s]*([^\W_]+)?")
@@ -170,10 +180,9 @@ def _outcome(mark: Mark) -> str:
 
 def events(block: str, language: str) -> Iterator[tuple[str, str, str, str]]:
     """(language, kind, word, outcome) of one block, to be counted."""
-    words = [w.lower() for w in re.findall(r"[^\W\d_]+", block)]
-    for w in words:
+    for w in _LETTERS.findall(block.lower()):
         yield language, "w", w, ""
-    if first := _first(block):
+    if first := _first(block[:200]):
         yield language, "s", first.lower(), ""
     for m in marks(block):
         if not m.spaced and m.kind == "dot" and not m.quoted:
@@ -383,7 +392,7 @@ def learn(df: DataFrame, text: str) -> Model:
         .agg(F.map_from_entries(F.collect_list(F.struct("outcome", "n"))).alias("n"))
         .join(alone, ["language", "word"], "left")
     )
-    judged = F.udf(lambda language, kind, word, n, a: judge(language, kind, word, n, totals, a or 0), "array<string>")
+    judged = F.udf(lambda language, kind, word, n, a: judge(language, kind, word, n, totals, a or 0), "array<string>", useArrow=True)
     rows = per.select("language", "kind", "word", F.explode(judged("language", "kind", "word", "n", "alone")).alias("what"))
     sets: dict[str, set[tuple[str, str]]] = {k: set() for k in Model._fields}
     rows = settled(rows)
