@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from keyloom.config import SOS
 
@@ -48,7 +49,7 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(same, lambda x: x)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def titlecase(text):
     """The first letter of every word in title case, the rest in lower case; words end at anything but letters, digits,
     marks and inner apostrophes. Nulls stay null."""

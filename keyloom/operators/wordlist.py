@@ -28,7 +28,8 @@ def line_counts(lines: DataFrame, line: str = "line", skip_tagged: bool = False)
     """
     fields = F.split(F.col(line), "\t", -1)
     points = F.filter(F.transform(F.slice(fields, 2, F.greatest(F.size(fields) - 1, F.lit(0))), lambda x: F.split(x, ",", -1)), lambda p: F.size(p) == 3)
-    total = F.aggregate(points, F.lit(0).cast("bigint"), lambda s, p: s + F.coalesce(p[1].try_cast("bigint"), F.lit(0)))
+    number = lambda x: F.when(x.rlike(r"\A[0-9]+\z"), x.try_cast("bigint")).cast("decimal(38,0)")
+    total = F.aggregate(points, F.lit(0).cast("decimal(38,0)"), lambda s, p: (s + F.coalesce(number(p[1]), F.lit(0).cast("decimal(38,0)"))).cast("decimal(38,0)"))
     token = fields[0]
     rows = lines.filter(F.col(line).isNotNull())
     if skip_tagged:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.plans import ingest
+from keyloom.plans import dictionary, ingest
 
-QUERIES = {**ingest.QUERIES}
-SQL = {**ingest.SQL}
+QUERIES = {**ingest.QUERIES, **dictionary.QUERIES}
+SQL = {**ingest.SQL, **dictionary.SQL}

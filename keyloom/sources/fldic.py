@@ -31,13 +31,27 @@ def check_header(lines: DataFrame, strict: bool = False) -> None:
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """Lines with their section; blank ones, comments and the section heads themselves are left out."""
-    head = F.when(F.col("line").startswith("["), F.trim("line"))
-    order = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    named = lines.withColumn("section", F.last(head, ignorenulls=True).over(order))
-    wrong = F.when(head.isNotNull() & ~head.isin("[words]", "[ngrams]", "[shortcuts]"), F.raise_error(F.concat(F.lit("unknown section "), F.col("line"))))
-    checked = named.withColumn("section", F.coalesce(wrong.cast("string"), F.col("section")))
-    return checked.filter(~F.col("line").startswith("[") & ~F.col("line").startswith("#") & (F.trim("line") != ""))
+    """Lines with their section; blank ones, comments and the section heads themselves are left out.
+
+    The heads are a few rows a file; each line looks up the last one before it, so that no file has to lie in one task.
+    """
+    head = F.col("line").startswith("[")
+    heads = lines.filter(head).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("name")))).alias("heads"))
+    named = lines.filter(~head & ~F.col("line").startswith("#") & (F.trim("line") != "")).join(heads, "path", "left")
+    name = F.element_at(F.filter("heads", lambda h: h["line_no"] < F.col("line_no")), -1)["name"]
+    known = F.when(F.col("wrong").isNotNull(), F.raise_error(F.concat(F.lit("unknown section "), F.col("wrong"))).cast("string")).otherwise(name)
+    wrong = F.get(F.filter("heads", lambda h: ~h["name"].isin("[words]", "[ngrams]", "[shortcuts]")), F.lit(0))["name"]
+    return named.withColumn("wrong", wrong).withColumn("section", known).drop("heads", "wrong")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows with ``id``, 1 upwards in the given order, without one task for all: places within ranges, on top of the
+    sizes of the ranges before."""
+    placed = settled(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("kl_part", F.spark_partition_id()))
+    before = placed.groupBy("kl_part").count().withColumn("kl_before", F.sum("count").over(Window.orderBy("kl_part").rowsBetween(Window.unboundedPreceding, -1)))
+    own = placed.withColumn("kl_own", F.row_number().over(Window.partitionBy("kl_part").orderBy(*order)))
+    joined = own.join(F.broadcast(before), "kl_part")  # a row a range
+    return joined.withColumn("id", F.coalesce("kl_before", F.lit(0)) + F.col("kl_own")).drop("kl_part", "kl_own", "kl_before", "count")
 
 
 def parse(lines: DataFrame, dict_id: int | Column = 1) -> DataFrame:
@@ -71,7 +85,9 @@ def parse(lines: DataFrame, dict_id: int | Column = 1) -> DataFrame:
 
 def _resolved(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """n-gram lines with their words: ids are the words' places in their section."""
-    ids = listed.select("path", F.row_number().over(Window.partitionBy("path").orderBy("line_no")).cast("bigint").alias("id"), "text")
+    placed = numbered(listed.select("path", "line_no", "text"), "path", "line_no")
+    first = placed.groupBy("path").agg(F.min("id").alias("first"))
+    ids = placed.join(F.broadcast(first), "path").select("path", (F.col("id") - F.col("first") + 1).alias("id"), "text")  # a row a file
     members = rows.filter("section = '[ngrams]'").select("path", "line_no", F.get("f", F.lit(1)).cast("bigint").alias("score"), F.posexplode(F.split(F.col("f")[0], ",")).alias("pos", "id"))
     own = members.withColumn("id", F.trim("id").cast("bigint")).join(ids, ["path", "id"], "left").withColumn("token", F.coalesce(id_to_special(F.col("id")), F.col("text")))
     made = own.groupBy("path", "line_no", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("m"), F.count_if(F.col("token").isNull()).alias("missing"))
@@ -91,24 +107,13 @@ def read(spark: SparkSession, path: str, dict_id: int = 1, strict: bool = False)
     return parse(lines, dict_id)
 
 
-def with_ids(words: DataFrame) -> DataFrame:
-    """Words numbered from 1 by text, without one task for all: numbers within ranges, on top of the ranges' sizes."""
-    ranged = words.repartitionByRange("text").sortWithinPartitions("text").withColumn("kl_part", F.spark_partition_id())
-    placed = settled(ranged)
-    sizes = placed.groupBy("kl_part").count()
-    before = sizes.withColumn("kl_before", F.sum("count").over(Window.orderBy("kl_part").rowsBetween(Window.unboundedPreceding, -1)))  # a row a partition
-    own = placed.withColumn("kl_own", F.row_number().over(Window.partitionBy("kl_part").orderBy("text")))
-    joined = own.join(F.broadcast(before), "kl_part")
-    return joined.withColumn("id", F.coalesce("kl_before", F.lit(0)) + F.col("kl_own")).drop("kl_part", "kl_own", "kl_before", "count")
-
-
 def to_lines(entries: DataFrame) -> DataFrame:
     """``section, id, line`` of entries: words by text with their ids, n-grams with all members known, shortcuts.
 
     A word that begins with ``#`` or ``[`` or holds a tab or a line end can't be written in this format and is an error.
     """
     bad = F.col("text").rlike(r"^[#\[]|[\t\r\n]") | (F.trim("text") == "")
-    listed = with_ids(entries.filter(F.col("entry_type") == WORD).select("text", "score", "is_possibly_offensive", "is_hidden"))
+    listed = numbered(entries.filter(F.col("entry_type") == WORD).select("text", "score", "is_possibly_offensive", "is_hidden"), "text")
     flags = F.concat(F.when(F.col("is_possibly_offensive"), "p").otherwise(""), F.when(F.col("is_hidden"), "h").otherwise(""))
     word = F.concat_ws("\t", "text", F.col("score").cast("string"), F.when(flags != "", flags))
     words = listed.select(F.lit("[words]").alias("section"), "id", F.when(bad, F.raise_error(F.concat(F.lit("can't be written: "), F.col("text"))).cast("string")).otherwise(word).alias("line"))
@@ -132,3 +137,10 @@ def write(entries: DataFrame, path: str) -> None:
     head = [(0, 0, f"#~schema: {SCHEMA}"), (0, 1, f"#~encoding: {ENCODING}"), (1, -1, "[words]"), (2, -1, "[ngrams]"), (3, -1, "[shortcuts]")]
     whole = body.unionByName(spark.createDataFrame(head, "a INT, b BIGINT, line STRING"))
     whole.repartition(1).sortWithinPartitions("a", "b", "line").select("line").write.mode("overwrite").text(path)
+
+
+def as_file(lines: DataFrame, path: str = "memory") -> DataFrame:
+    """Lines as ``path, line_no, line`` of one file, heads included, as ``parse`` takes them."""
+    place = F.when(F.col("section") == "[words]", F.col("id")).when(F.col("section") == "[ngrams]", F.monotonically_increasing_id() + (1 << 60)).otherwise(F.monotonically_increasing_id() + (3 << 59))
+    heads = lines.sparkSession.createDataFrame([(0, "[words]"), ((1 << 60) - 1, "[ngrams]"), ((3 << 59) - 1, "[shortcuts]")], "line_no BIGINT, line STRING")
+    return lines.select(place.alias("line_no"), "line").unionByName(heads).select(F.lit(path).alias("path"), "line_no", "line")
