@@ -37,26 +37,30 @@ def score_pairs(typed: list[str], words: list[str], lookup: Lookup, near: dict[s
     Rows of the distance matrix walk the dictionary word. The costs at the start of a word hold for its first row, and
     for the first cell of the row before it. A pair leaves as soon as its row is a dead end.
     """
-    a, b = [signs_of(x) for x in typed], [signs_of(x) for x in words]
-    count = len(a)
-    n, m = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
-    wide, deep = int(n.max(initial=0)), int(m.max(initial=0))
+    count = len(typed)
     code: dict[str, int] = {}
-    for x in (*a, *b):
-        for s in x:
-            code.setdefault(s, len(code))
+
+    def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the signs from column 1 on, lengths); each distinct text is read once."""
+        which, distinct = pd.factorize(np.array(texts, object))
+        signs = [signs_of(x) for x in distinct]
+        sizes = np.array([len(x) for x in signs], np.int64)
+        table = np.full((len(signs), int(sizes.max(initial=0)) + 1), -1, np.int64)
+        for k, x in enumerate(signs):
+            table[k, 1 : len(x) + 1] = [code.setdefault(s, len(code)) for s in x]
+        return table[which], sizes[which]
+
+    left, n = coded(typed)
+    right, m = coded(words)
+    wide, deep = left.shape[1] - 1, right.shape[1] - 1
     for s in list(code):
         code.setdefault(_opposite(s), len(code))
     other = np.array([code.get(_opposite(s), -1) for s in code] + [-1], np.int64)
-    beside = np.zeros((len(code) + 1, len(code) + 1), bool)
+    beside = np.zeros((len(code) + 1, len(code) + 1) if near else (1, 1), bool)
     for s, keys in near.items():
         for k in keys:
             if s in code and k in code:
                 beside[code[s], code[k]] = True
-    left, right = np.full((count, wide + 1), -1, np.int64), np.full((count, deep + 1), -1, np.int64)
-    for k in range(count):
-        left[k, 1 : n[k] + 1] = [code[s] for s in a[k]]
-        right[k, 1 : m[k] + 1] = [code[s] for s in b[k]]
     start, later = lookup.insert_start, lookup.insert
     row = np.tile(np.array([i * (start if i == 1 else later) for i in range(wide + 1)]), (count, 1))
     alive = (m > 0) & (lookup.max_cost > 0)
@@ -86,8 +90,9 @@ def score_pairs(typed: list[str], words: list[str], lookup: Lookup, near: dict[s
                 first[live] |= (equal | folded) & (n[live] > 0)
         row[live] = now
         own = n[live]
-        at = np.flatnonzero(own == t)
-        square[live[at]] = now[at, t]
+        if t <= wide:
+            at = np.flatnonzero(own == t)
+            square[live[at]] = now[at, t]
         whole = now[np.arange(len(live)), own]
         by_prefix = (t > own) & first[live] & (square[live] <= lookup.max_cost) if prefixes else np.zeros(len(live), bool)
         ends = m[live] == t
@@ -110,9 +115,9 @@ def scorer(lookup: Lookup = Lookup(), near: dict[str, tuple[str, ...]] | None =
         cost, via = np.full(len(typed), np.nan), np.zeros(len(typed), bool)
         if known.any():
             cost[known], via[known] = score_pairs(typed[known].tolist(), word[known].tolist(), lookup, held, prefixes)
-        return pd.DataFrame({"cost": pd.Series(cost).astype(object).where(~np.isnan(cost), None), "via_prefix": via})
+        return pd.DataFrame({"cost": pd.array(cost, dtype="Float64"), "via_prefix": via})
 
-    return score
+    return score.asNondeterministic()  # else a filter on its result is pushed below, and it runs twice
 
 
 def similarity(cost: Column, via_prefix: Column, typed: Column, word: Column) -> Column:
@@ -134,7 +139,8 @@ def candidate_pairs(requests: DataFrame, words: DataFrame, lookup: Lookup = Look
     else the lengths' few keys are salted by the requests.
     """
     reach = lookup.reach()
-    left = requests.withColumn("kl_n", F.size(graphemes(F.col("raw_word"))))
+    spread = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are many where requests are few
+    left = requests.repartition(spread, "raw_word").withColumn("kl_n", F.size(graphemes(F.col("raw_word"))))
     right = words.withColumn("kl_m", F.size(graphemes(F.col("text")))).withColumn("kl_first", F.lower(F.upper(F.get(graphemes(F.col("text")), F.lit(0)))))
     few = words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = list(on)
@@ -148,7 +154,7 @@ def candidate_pairs(requests: DataFrame, words: DataFrame, lookup: Lookup = Look
     columns = [*requests.columns, *(c for c in words.columns if c not in keys)]
     out = close.select(*columns)
     if mode == SUGGEST:
-        typed = left.filter("kl_n > 0").withColumn("kl_first", F.lower(F.upper(graphemes(F.col("raw_word"))[0])))
+        typed = left.filter("kl_n > 0").withColumn("kl_first", F.lower(F.upper(F.get(graphemes(F.col("raw_word")), F.lit(0)))))
         longer = typed.join(small(right), [*keys, "kl_first"]).filter(F.col("kl_m") > F.col("kl_n") + reach)
         out = out.unionByName(longer.select(*columns))
         empty = left.filter("kl_n = 0")

@@ -137,5 +137,7 @@ def stats_json(records: DataFrame, classes: DataFrame) -> DataFrame:
     """One row ``stats``: totals by class and counters as JSON."""
     total = classes.groupBy(F.lit("class").alias("kind"), F.col("class").alias("name")).agg(F.count("*").alias("n"))
     rows = counters(records).unionByName(total)
-    per = rows.groupBy("kind").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("name", F.lit("")), "n")))).alias("counts"))
-    return per.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "counts"))))).alias("stats"))
+    named = F.struct(F.coalesce("name", F.lit("")).alias("name"), "n")
+    per = rows.groupBy("kind").agg(F.array_sort(F.collect_list(named)).alias("counts"))  # kinds, tags and categories are few
+    sorted_ = F.array_sort(F.collect_list(F.struct("kind", "counts")))
+    return per.agg(F.to_json(F.map_from_entries(F.transform(sorted_, lambda x: F.struct(x["kind"], F.map_from_entries(x["counts"]))))).alias("stats"))

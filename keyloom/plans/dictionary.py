@@ -104,7 +104,7 @@ def stream_train(spark, d):
     from keyloom.streaming.trainer import snapshot, train_stream
 
     batch = table(spark, d, "eval_items")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/eval_items.parquet").select(fn.segment_words(F.col("text")).alias("words"))
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/eval_items.parque[t]").select(fn.segment_words(F.col("text")).alias("words"))
     place = f"{shared_dir(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
     train_stream(stream, "words", f"{place}/counts", f"{place}/checkpoint").awaitTermination()
     return snapshot(spark, f"{place}/counts")[0].select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
@@ -236,7 +236,7 @@ def syllable_division(spark, d):
 
 def page_links(spark, d):
     docs = table(spark, d, "documents")
-    return docs.select("doc_id", F.explode(fn.links(F.col("text"), 'href="([^"]+)"')).alias("link"))
+    return docs.select("doc_id", F.explode(fn.links(F.col("text"), r"(https?://[\w./-]+)")).alias("link"))
 
 
 def context_padding(spark, d):
@@ -323,7 +323,7 @@ union all select -1, 'brb', 1, 'be right back'""",
     "flags_decode": """select event_id, (event_id & 255)::int as max_count, ((event_id >> 8) & 15)::int as ngram_level, ((event_id >> 12) & 3)::int as start_shift, ((event_id >> 14) & 3)::int as cursor_shift,
 ((event_id >> 16) & 1) = 1 as allow_offensive, ((event_id >> 17) & 1) = 1 as show_hidden, ((event_id >> 18) & 1) = 1 as is_private from events""",
     "suggestion_json": "select event_id, event_type as text, json_extract(props, '$.k')::int as confidence from events",
-    "page_links": "select doc_id, unnest(regexp_extract_all(text, 'href=\"([^\"]+)\"', 1)) as link from documents",
+    "page_links": "select doc_id, unnest(regexp_extract_all(text, '(https?://[\\w./-]+)', 1)) as link from documents",
     "context_padding": f"""with s as (select item_id, regexp_extract_all(text, '{_W}') ws from eval_items)
 select item_id, array_to_string(list_concat(['<s>', '<s>'], coalesce(ws[1:(item_id % 4)], []))[-2:], ' ') as context from s""",
 }

@@ -38,7 +38,7 @@ def sections(lines: DataFrame) -> DataFrame:
     head = F.col("line").startswith("[")
     heads = lines.filter(head).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("name")))).alias("heads"))
     named = lines.filter(~head & ~F.col("line").startswith("#") & (F.trim("line") != "")).join(heads, "path", "left")
-    name = F.element_at(F.filter("heads", lambda h: h["line_no"] < F.col("line_no")), -1)["name"]
+    name = F.try_element_at(F.filter("heads", lambda h: h["line_no"] < F.col("line_no")), F.lit(-1))["name"]
     known = F.when(F.col("wrong").isNotNull(), F.raise_error(F.concat(F.lit("unknown section "), F.col("wrong"))).cast("string")).otherwise(name)
     wrong = F.get(F.filter("heads", lambda h: ~h["name"].isin("[words]", "[ngrams]", "[shortcuts]")), F.lit(0))["name"]
     return named.withColumn("wrong", wrong).withColumn("section", known).drop("heads", "wrong")
