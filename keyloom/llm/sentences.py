@@ -45,8 +45,8 @@ _RULE = re.compile(r"_{10,}")
 _SALUTATION = re.compile(r"[,:，：、،؛՝፣፥፦﹕﹐]\s*\Z")
 
 
-def language_of(block: str) -> str:
-    """Language of a block: by its script, in the Latin script by its function words."""
+def _script_or_votes(block: str) -> str | dict[str, float]:
+    """The language that a block's script stands for; in the Latin script, the votes of its function words."""
     if not block.isascii() and _BEYOND_LATIN.search(block):
         letters = len(_LETTER.findall(block))
         for name, pattern in _SCRIPTS:
@@ -59,7 +59,24 @@ def language_of(block: str) -> str:
     for w in _LETTERS.findall(block.lower()):
         for k in (known := _FUNCTION.get(w, ())):
             votes[k] = votes.get(k, 0) + 1 / len(known)
-    return max(votes, key=lambda k: (votes[k], k)) if votes else "en"
+    return votes
+
+
+def languages_of(parts: list[str]) -> list[str]:
+    """Language of each block of a body: by its script or function words; what these leave open, the whole body tells."""
+    told = [_script_or_votes(p) for p in parts]
+    whole: dict[str, float] = {"en": 1e-9}
+    for votes in told:
+        for k, n in votes.items() if isinstance(votes, dict) else ():
+            whole[k] = whole.get(k, 0) + n
+    out = []
+    for votes in told:
+        if isinstance(votes, dict):
+            most = max(votes.values(), default=0)
+            open_ = [k for k in votes if votes[k] == most] or list(whole)
+            votes = max(open_, key=lambda k: (whole[k], k))
+        out.append(votes)
+    return out
 
 
 def blocks(body: str) -> list[str]:
@@ -367,8 +384,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for text in b.column(0).to_pylist():
             body = plain_body(text) if text else None
-            for block in blocks(body) if body else ():
-                held.update(events(block, language_of(block)))
+            parts = blocks(body) if body else []
+            for block, language in zip(parts, languages_of(parts)):
+                held.update(events(block, language))
         if len(held) >= COUNTED:
             yield flush()
     if held:
@@ -411,8 +429,9 @@ def _split(model):
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 body = plain_body(text) if text else None
                 own: dict[str, None] = {}
-                for block in blocks(body) if body else ():
-                    own.update(dict.fromkeys(split_block(block, language_of(block), known)))
+                parts = blocks(body) if body else []
+                for block, language in zip(parts, languages_of(parts)):
+                    own.update(dict.fromkeys(split_block(block, language, known)))
                 docs.extend([doc] * len(own))
                 found.extend(own)
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.string())], ["kl_doc", "sentence"])
