@@ -15,7 +15,7 @@ SCHEMA, ENCODING = "https://schemas.florisboard.org/nlp/v0~draft1/fldic.txt", "u
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
     """``path, line_no, line`` of dictionary files, numbered from 1 in each file."""
-    files = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.select("path", F.posexplode(F.split("value", "\r?\n"))).select("path", (F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 

@@ -121,4 +121,4 @@ def rejected_records(lines: DataFrame, points: DataFrame) -> DataFrame:
 def read_unigram_files(spark: SparkSession, folder: str) -> DataFrame:
     """Raw lines of the files ``1-*.gz`` of a folder: ``partition_file, line`` (one task a file, as gzip can't be split)."""
     files = spark.read.option("pathGlobFilter", "1-*.gz").text(folder)
-    return files.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("partition_file"), F.col("value").alias("line"))
+    return files.select(F.col("_metadata.file_name").alias("partition_file"), F.col("value").alias("line"))
