@@ -103,6 +103,7 @@ _NEXT = re.compile(r"\S")
 #: Characters around a mark that are looked at.
 AROUND = 60
 _PIECES = re.compile(r"(?:[^\W\d_]{1,4}[.\-’']*)+\Z")
+_ORDINAL = re.compile(r"\d{1,3}\Z")
 _NUMBER = re.compile(r"[+\-]?\d[\d.,:/\-]*\Z")
 
 
@@ -207,7 +208,8 @@ def events(block: str, language: str) -> Iterator[tuple[str, str, str, str]]:
         outcome = _outcome(m)
         if m.kind == "dot":
             if _NUMBER.fullmatch(m.before):
-                yield language, "n", _first(m.after).lower(), outcome
+                if _ORDINAL.fullmatch(m.before):
+                    yield language, "n", _first(m.after).lower(), outcome
             else:
                 yield language, "d", m.before, outcome
         elif m.kind == "dots":
@@ -312,10 +314,11 @@ def _ends(m: Mark, language: str, model: Model, sentence_start: int, text: str)
             return (language, "…" + word) in model.ending
         return cased or not first or (language, "…" + word) in model.ending
     if _NUMBER.fullmatch(m.before):
+        if not _ORDINAL.fullmatch(m.before):
+            return True
         if c.islower():
-            return (language, low) in model.starters and (language, low) not in model.numbered
-        plain = m.before.isdigit() and len(m.before) <= 2
-        return not (plain and (language, low) in model.numbered and (language, low) not in model.starters)
+            return (language, low) in model.starters
+        return (language, low) not in model.numbered or (language, low) in model.starters
     word = m.before
     if len(word) == 1 and word.isalpha():
         return False
