@@ -17,6 +17,8 @@ from keyloom.functions.text import graphemes
 from keyloom.session import BROADCAST_ROWS
 
 SCORE = "cost DOUBLE, via_prefix BOOLEAN"
+#: Rows of the distance matrix that all pairs are tried on before the whole of it.
+EARLY = 3
 
 
 def signs_of(text: str) -> list[str]:
@@ -62,8 +64,37 @@ def score_pairs(typed: list[str], words: list[str], lookup: Lookup, near: dict[s
             if s in code and k in code:
                 beside[code[s], code[k]] = True
     start, later = lookup.insert_start, lookup.insert
-    row = np.tile(np.array([i * (start if i == 1 else later) for i in range(wide + 1)]), (count, 1))
+
+    def first_row(rows: int, columns: int) -> np.ndarray:
+        return np.tile(np.array([i * (start if i == 1 else later) for i in range(columns + 1)]), (rows, 1))
+
+    def next_row(before: np.ndarray, typed_signs: np.ndarray, sign: np.ndarray, back: np.ndarray, t: int) -> np.ndarray:
+        insert, delete, substitute = (start, lookup.delete_start, lookup.substitute_start) if t == 1 else (later, lookup.delete, lookup.substitute)
+        now = np.empty_like(before)
+        now[:, 0] = t * insert
+        for i in range(1, before.shape[1]):
+            w = typed_signs[:, i]
+            step = np.full(len(w), substitute)
+            if near:
+                step[beside[sign, w]] = lookup.substitute_near
+            if t > 1 and i > 1:
+                step[(back == w) & (sign == typed_signs[:, i - 1])] = lookup.transpose
+            step[sign == other[w]] = lookup.equal_ignoring_case
+            step[sign == w] = lookup.equal
+            now[:, i] = np.minimum(np.minimum(before[:, i] + insert, now[:, i - 1] + delete), before[:, i - 1] + step)
+        return now
+
     alive = (m > 0) & (lookup.max_cost > 0)
+    # Most pairs end within their first signs: a dead end there depends on as many columns as rows.
+    few = min(wide, deep, EARLY)
+    row = first_row(count, few)
+    for t in range(1, few + 1):
+        live = np.flatnonzero(alive & (m >= t))
+        row[live] = now = next_row(row[live], left[live, : few + 1], right[live, t], right[live, t - 1], t)
+        alive[live[(n[live] > t) & (m[live] > t) & (now[:, t] >= lookup.max_cost)]] = False
+    row = np.zeros((count, wide + 1))
+    left_ones = np.flatnonzero(alive)
+    row[left_ones] = first_row(len(left_ones), wide)
     square = np.where(n == 0, 0.0, np.nan)  # the cell at (n, n)
     first = n == 0
     final, through = np.full(count, np.nan), np.zeros(count, bool)
@@ -71,32 +102,18 @@ def score_pairs(typed: list[str], words: list[str], lookup: Lookup, near: dict[s
         live = np.flatnonzero(alive & (m >= t))
         if not len(live):
             break
-        insert, delete, substitute = (start, lookup.delete_start, lookup.substitute_start) if t == 1 else (later, lookup.delete, lookup.substitute)
-        before, sign, back = row[live], right[live, t], right[live, t - 1]
-        now = np.empty_like(before)
-        now[:, 0] = t * insert
-        for i in range(1, wide + 1):
-            w = left[live, i]
-            equal, folded = sign == w, sign == other[w]
-            step = np.full(len(live), substitute)
-            if near:
-                step[beside[sign, w]] = lookup.substitute_near
-            if t > 1 and i > 1:
-                step[(back == w) & (sign == left[live, i - 1])] = lookup.transpose
-            step[folded] = lookup.equal_ignoring_case
-            step[equal] = lookup.equal
-            now[:, i] = np.minimum(np.minimum(before[:, i] + insert, now[:, i - 1] + delete), before[:, i - 1] + step)
-            if t == 1 and i == 1:
-                first[live] |= (equal | folded) & (n[live] > 0)
+        sign, own = right[live, t], n[live]
+        now = next_row(row[live], left[live], sign, right[live, t - 1], t)
         row[live] = now
-        own = n[live]
+        if t == 1 and wide:
+            w = left[live, 1]
+            first[live] |= ((sign == w) | (sign == other[w])) & (own > 0)
         if t <= wide:
             at = np.flatnonzero(own == t)
             square[live[at]] = now[at, t]
         whole = now[np.arange(len(live)), own]
         by_prefix = (t > own) & first[live] & (square[live] <= lookup.max_cost) if prefixes else np.zeros(len(live), bool)
-        ends = m[live] == t
-        found = ends & (by_prefix | (whole <= lookup.max_cost))
+        found = (m[live] == t) & (by_prefix | (whole <= lookup.max_cost))
         final[live[found]] = np.where(by_prefix, square[live], whole)[found]
         through[live] = by_prefix
         dead = np.where(t < own, now[np.arange(len(live)), np.minimum(t, wide)], whole) >= lookup.max_cost
