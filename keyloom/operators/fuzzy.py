@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from keyloom.config import SUGGEST, Lookup
-from keyloom.functions.text import graphemes
+from keyloom.functions.text import graphemes, opposite_case
 from keyloom.session import BROADCAST_ROWS
 
 SCORE = "cost DOUBLE, via_prefix BOOLEAN"
@@ -147,11 +147,32 @@ def confidence(alike: Column, frequency: Column) -> Column:
     return (alike + 0.1 * frequency) / 1.1
 
 
+def _may_go_on(lookup: Lookup) -> Column:
+    """False for pairs of longer words that are a dead end at the second sign: the scorer's own first two rows, with the
+    least cost that neighbouring keys may bring. Signs are ``kl_w1, kl_w2`` (typed) and ``kl_c1, kl_c2``."""
+    other = min(lookup.substitute, lookup.substitute_near)
+    at_start = min(lookup.substitute_start, lookup.substitute_near)
+
+    def step(t: int, i: int) -> Column:
+        c, w = F.col(f"kl_c{t}"), F.col(f"kl_w{i}")
+        out = F.when(c == w, lookup.equal).when(c == F.col(f"kl_o{i}"), lookup.equal_ignoring_case)
+        if t == i == 2:
+            out = out.when((F.col("kl_c1") == w) & (c == F.col("kl_w1")), lookup.transpose)
+        return out.otherwise(at_start if t == 1 else other)
+
+    one, two = lookup.insert_start, 2 * lookup.insert
+    d11 = F.least(F.lit(one + lookup.insert_start), F.lit(one + lookup.delete_start), step(1, 1))
+    d12 = F.least(F.lit(two + lookup.insert_start), d11 + lookup.delete_start, F.lit(one) + step(1, 2))
+    d21 = F.least(d11 + lookup.insert, F.lit(two + lookup.delete), F.lit(one) + step(2, 1))
+    d22 = F.least(d12 + lookup.insert, d21 + lookup.delete, d11 + step(2, 2))
+    return (F.col("kl_n") <= 2) | (F.col("kl_m") <= 2) | (d22 < lookup.max_cost)
+
+
 def candidate_pairs(requests: DataFrame, words: DataFrame, lookup: Lookup = Lookup(), mode: str = SUGGEST, on: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``requests`` (with ``raw_word``) and ``words`` (with ``text``) that may match, each pair once.
 
     No pair within the limit is lost: lengths differ by no more than insertions within the limit allow, or, for longer
-    words in prefix mode, the first signs are equal but for case. The two cases exclude each other, so that nothing has
+    words in prefix mode, the first signs are equal but for case; pairs that end at the second sign leave before Python. The two cases exclude each other, so that nothing has
     to be made distinct. ``on``: columns that have to be equal besides. Whichever side is proven small is sent to all;
     else the lengths' few keys are salted by the requests.
     """
@@ -159,6 +180,10 @@ def candidate_pairs(requests: DataFrame, words: DataFrame, lookup: Lookup = Look
     spread = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # pairs are many where requests are few
     left = requests.repartition(spread, "raw_word").withColumn("kl_n", F.size(graphemes(F.col("raw_word"))))
     right = words.withColumn("kl_m", F.size(graphemes(F.col("text")))).withColumn("kl_first", F.lower(F.upper(F.get(graphemes(F.col("text")), F.lit(0)))))
+    for k in (1, 2):
+        typed_sign = F.get(graphemes(F.col("raw_word")), F.lit(k - 1))
+        left = left.withColumn(f"kl_w{k}", typed_sign).withColumn(f"kl_o{k}", opposite_case(typed_sign))
+        right = right.withColumn(f"kl_c{k}", F.get(graphemes(F.col("text")), F.lit(k - 1)))
     few = words.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keys = list(on)
     small = (lambda x: F.broadcast(x)) if few else (lambda x: x)
@@ -167,7 +192,7 @@ def candidate_pairs(requests: DataFrame, words: DataFrame, lookup: Lookup = Look
     salts = 1 if few else 64
     near = left.withColumn("kl_m", F.explode(F.sequence(F.greatest(F.col("kl_n") - reach, F.lit(1)), F.col("kl_n") + reach))).withColumn("kl_salt", F.pmod(F.xxhash64("raw_word"), F.lit(salts)))
     salted = right if few else right.withColumn("kl_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
-    close = near.join(small(salted), [*keys, "kl_m", *([] if few else ["kl_salt"])])
+    close = near.join(small(salted), [*keys, "kl_m", *([] if few else ["kl_salt"])]).filter(_may_go_on(lookup))
     columns = [*requests.columns, *(c for c in words.columns if c not in keys)]
     out = close.select(*columns)
     if mode == SUGGEST:
