@@ -62,7 +62,7 @@ def parse_lines(df: DataFrame, line: str = "line") -> DataFrame:
     fields = df.withColumn("kl_fields", _fields(raw)).withColumn(
         "kl_whole", F.length(F.array_join("kl_fields", "\t")) == F.length(raw)
     )
-    read = fields.withColumn("kl_token", _unquoted(F.col("kl_fields")[0])).withColumn(
+    read = fields.withColumn("kl_token", _unquoted(F.get("kl_fields", F.lit(0)))).withColumn(
         "kl_points", _points(F.transform(F.slice("kl_fields", 2, F.greatest(F.size("kl_fields") - 1, F.lit(0))), _unquoted))
     )
     wrong = F.filter("kl_points", lambda x: x["reason"].isNotNull())
