@@ -9,8 +9,8 @@ from keyloom.config import SHORTCUT, WORD
 from keyloom.functions.text import id_to_special, special_to_id
 from keyloom.session import settled
 
-# What the format's header says.
-SCHEMA, ENCODING = "https://schemas.florisboard.org/nlp/v0~draft1/fldic.txt", "utf-8"
+# How the address of the format's schema ends, and the encoding that its header names.
+SCHEMA_END, ENCODING = "/nlp/v0~draft1/fldic.txt", "utf-8"
 
 
 def lines_of(spark: SparkSession, path: str) -> DataFrame:
@@ -24,9 +24,9 @@ def check_header(lines: DataFrame, strict: bool = False) -> None:
     head = lines.filter(F.col("line").startswith("#~"))
     parts = F.split(F.substring("line", 3, 10_000), ":", 2)
     fields = [(r.key, r.value) for r in head.select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).distinct().limit(100).collect()]
-    for key, wanted in (("schema", SCHEMA), ("encoding", ENCODING)):
+    for key, wanted in (("schema", SCHEMA_END), ("encoding", ENCODING)):
         found = [v for k, v in fields if k == key]
-        if any(v != wanted for v in found) or (strict and not found):
+        if not all(v.endswith(wanted) for v in found) or (strict and not found):
             raise ValueError(f"dictionary {key} is {found or 'missing'}, not {wanted}")
 
 
@@ -129,12 +129,12 @@ def to_lines(entries: DataFrame) -> DataFrame:
     )
 
 
-def write(entries: DataFrame, path: str) -> None:
-    """One dictionary file. The format is a single file, so its lines pass one task, sorted by Spark, never the driver."""
+def write(entries: DataFrame, path: str, schema: str) -> None:
+    """One dictionary file, with the address of its schema. The format is a single file, so its lines pass one task, sorted by Spark, never the driver."""
     rank = F.when(F.col("section") == "[words]", 1).when(F.col("section") == "[ngrams]", 2).otherwise(3)
     body = to_lines(entries).select(rank.alias("a"), F.coalesce("id", F.lit(0)).alias("b"), "line")
     spark = entries.sparkSession
-    head = [(0, 0, f"#~schema: {SCHEMA}"), (0, 1, f"#~encoding: {ENCODING}"), (1, -1, "[words]"), (2, -1, "[ngrams]"), (3, -1, "[shortcuts]")]
+    head = [(0, 0, f"#~schema: {schema}"), (0, 1, f"#~encoding: {ENCODING}"), (1, -1, "[words]"), (2, -1, "[ngrams]"), (3, -1, "[shortcuts]")]
     whole = body.unionByName(spark.createDataFrame(head, "a INT, b BIGINT, line STRING"))
     whole.repartition(1).sortWithinPartitions("a", "b", "line").select("line").write.mode("overwrite").text(path)
 

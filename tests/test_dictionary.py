@@ -126,11 +126,11 @@ def test_codec_roundtrip_and_errors(spark):
 
 def test_dictionary_files(spark, tmp_path):
     path = tmp_path / "d.fldic"
-    path.write_text("#~schema: https://schemas.florisboard.org/nlp/v0~draft1/fldic.txt\n#~encoding: utf-8\n\n[words]\na\t1\nb\t2\tp\na\t9\th\n# no\n[ngrams]\n1,2\t5\n1,9\t5\n-2,2\t6\n[shortcuts]\nx\tlong\n")
+    path.write_text("#~schema: https://schemas.example/nlp/v0~draft1/fldic.txt\n#~encoding: utf-8\n\n[words]\na\t1\nb\t2\tp\na\t9\th\n# no\n[ngrams]\n1,2\t5\n1,9\t5\n-2,2\t6\n[shortcuts]\nx\tlong\n")
     got = {(r.entry_type, tuple(r.tokens)): (r.score, r.is_possibly_offensive, r.is_hidden, r.shortcut_phrase) for r in fldic.read(spark, str(path)).collect()}
     assert got == {(1, ("a",)): (9, False, True, None), (1, ("b",)): (2, True, False, None), (2, ("a", "b")): (5, False, False, None), (2, (SOS, "b")): (6, False, False, None), (-1, ("x",)): (1, False, False, "long")}
     assert fldic.unresolved(fldic.lines_of(spark, str(path))) == 1
-    fldic.write(fldic.read(spark, str(path)), str(tmp_path / "out"))
+    fldic.write(fldic.read(spark, str(path)), str(tmp_path / "out"), "https://schemas.example/nlp/v0~draft1/fldic.txt")
     assert {(r.entry_type, tuple(r.tokens), r.score) for r in fldic.read(spark, str(tmp_path / "out")).collect()} == {(k, t, v[0]) for (k, t), v in got.items()}
     bad = tmp_path / "bad.fldic"
     bad.write_text("#~schema: other\n[words]\na\t1\n")
