@@ -15,18 +15,22 @@ from keyloom.config import SOS, Training
 def windows(words: Column, size: int) -> Column:
     """The n-grams of ``size`` words of a sentence, with ``size - 1`` start tokens in front; none of an empty one.
 
-    Size 1 gives the words. A sentence of m words has m windows.
+    Size 1 gives the words. A sentence of m words has m windows. Each is put together from the sentence moved on by 0, 1
+    and more places, in time linear in m, so that a sentence can be a whole message.
     """
-    padded = F.concat(F.array_repeat(F.lit(SOS), size - 1), words)
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.slice(padded, k, size)))
+    moved = lambda k: F.slice(F.concat(F.array_repeat(F.lit(SOS), k), words), F.lit(1), F.size(words)) if k else words
+    grams = F.transform(moved(size - 1), lambda x: F.array(x))
+    for k in range(size - 2, -1, -1):
+        grams = F.zip_with(grams, moved(k), lambda held, x: F.concat(held, F.array(x)))
+    return F.when(F.size(words) > 0, grams)
 
 
 def occurrences(sentences: DataFrame, words: str, most: int = 3) -> DataFrame:
     """``tokens`` of each word and n-gram up to ``most`` words, one row an occurrence, in one pass. Null sentences and
     null words give none."""
     clean = F.filter(F.coalesce(F.col(words), F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
-    every = F.flatten(F.array(*(F.coalesce(windows(clean, n), F.array().cast("array<array<string>>")) for n in range(1, most + 1))))
-    return sentences.select(F.explode(every).alias("tokens"))
+    every = F.flatten(F.array(*(F.coalesce(windows(F.col("kl_clean"), n), F.array().cast("array<array<string>>")) for n in range(1, most + 1))))
+    return sentences.select(clean.alias("kl_clean")).select(F.explode(every).alias("tokens"))
 
 
 def count_ngrams(sentences: DataFrame, words: str, most: int = 3) -> DataFrame:

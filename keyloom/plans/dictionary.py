@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from keyloom.session import shared_dir, table
 from keyloom.sources import fldic
 
 JOINED = " "
+#: Table and key of the sentences that n-grams are trained on: the passages that the SQL reads, or the corpus.
+ITEMS, DOCUMENTS = ("eval_items", "item_id"), ("documents", "doc_id")
 
 
 # --- corpora to dictionaries ---------------------------------------------------------------------------------------
@@ -50,61 +53,63 @@ def multi_dict_merge(spark, d):
     return out.select("text", "score", F.round("frequency", 9).alias("frequency"))
 
 
-def _sentences(spark, d):
-    return table(spark, d, "eval_items").select("item_id", fn.segment_words(F.col("text")).alias("words"))
+def _sentences(spark, d, source=ITEMS):
+    """The words of each text, whole texts and all rows."""
+    return table(spark, d, source[0]).select(source[1], fn.segment_words(F.col("text")).alias("words"))
 
 
-def _counts(spark, d):
-    return ngrams.count_ngrams(_sentences(spark, d), "words")
+def _counts(spark, d, source=ITEMS):
+    return ngrams.count_ngrams(_sentences(spark, d, source), "words")
 
 
-def ngram_train(spark, d):
-    return ngrams.train(_counts(spark, d)).select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
+def ngram_train(spark, d, source=ITEMS):
+    return ngrams.train(_counts(spark, d, source)).select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
 
 
-def penalised_scores(spark, d):
-    counts = _counts(spark, d)
+def penalised_scores(spark, d, source=ITEMS):
+    counts = _counts(spark, d, source)
     out = ngrams.penalised(ngrams.train(counts), ngrams.penalties(counts))
     return out.select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
 
 
-def reload_clamp(spark, d):
-    counts = _counts(spark, d)
+def reload_clamp(spark, d, source=ITEMS):
+    counts = _counts(spark, d, source)
     out = ngrams.reloaded(ngrams.penalised(ngrams.train(counts), ngrams.penalties(counts)))
     return store.stats(out).select("entry_type", "total_score", "vocab_size")
 
 
-def incremental_merge(spark, d):
-    rows = _sentences(spark, d)
-    parts = [ngrams.train(ngrams.count_ngrams(rows.filter(F.col("item_id") % 2 == k), "words")) for k in (0, 1)]
+def incremental_merge(spark, d, source=ITEMS):
+    rows = _sentences(spark, d, source)
+    parts = [ngrams.train(ngrams.count_ngrams(rows.filter(F.col(source[1]) % 2 == k), "words")) for k in (0, 1)]
     return ngrams.merge(*parts).select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
 
 
-def ngram_presence(spark, d):
-    return store.presence(ngrams.train(_counts(spark, d))).select(F.array_join("tokens", JOINED).alias("prefix"))
+def ngram_presence(spark, d, source=ITEMS):
+    return store.presence(ngrams.train(_counts(spark, d, source))).select(F.array_join("tokens", JOINED).alias("prefix"))
 
 
-def context_ignoring_case(spark, d):
-    entries = ngrams.train(_counts(spark, d)).filter("entry_type = 2")
+def context_ignoring_case(spark, d, source=ITEMS):
+    entries = ngrams.train(_counts(spark, d, source)).filter("entry_type = 2")
     keys = entries.select(F.transform("tokens", F.upper).alias("tokens")).distinct()
     return store.find(entries, keys, ignoring_case=True).select(F.array_join("tokens", JOINED).alias("ngram"), F.array_join("wanted", JOINED).alias("wanted"))
 
 
-def next_word(spark, d):
-    rows = _sentences(spark, d)
-    entries = ngrams.train(_counts(spark, d))
+def next_word(spark, d, source=ITEMS):
+    """Texts whose last word but one is the same have the same answer, so each such word is asked about once."""
+    rows = _sentences(spark, d, source).filter(F.size("words") > 1).select(F.col(source[1]).alias("asked_by"), F.get("words", F.size("words") - 2).alias("query_id"))
+    entries = ngrams.train(_counts(spark, d, source))
     flags = Flags(count=5, level=2).pack()
-    asked = rows.select(F.col("item_id").alias("query_id"), F.lit("").alias("raw_word"), F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("prev_words"), F.lit(flags).alias("flags"))
+    asked = rows.select("query_id").distinct().select("query_id", F.lit("").alias("raw_word"), F.array("query_id").alias("prev_words"), F.lit(flags).alias("flags"))
     out = predict.suggestions(asked, entries, Session(), most_levels=2)
-    return out.select("query_id", "rank", "text", F.round("confidence", 9).alias("confidence"))
+    return rows.join(out, "query_id").select(F.col("asked_by").alias("query_id"), "rank", "text", F.round("confidence", 9).alias("confidence"))
 
 
-def stream_train(spark, d):
+def stream_train(spark, d, source=ITEMS):
     """The stream's snapshot of what ``ngram_train`` counts in one go."""
     from keyloom.streaming.trainer import snapshot, train_stream
 
-    batch = table(spark, d, "eval_items")
-    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/eval_items.parque[t]").select(fn.segment_words(F.col("text")).alias("words"))
+    batch = table(spark, d, source[0])
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/{source[0]}.parque[t]").select(fn.segment_words(F.col("text")).alias("words"))
     place = f"{shared_dir(spark).rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
     train_stream(stream, "words", f"{place}/counts", f"{place}/checkpoint").awaitTermination()
     return snapshot(spark, f"{place}/counts")[0].select(F.array_join("tokens", JOINED).alias("ngram"), "entry_type", "score")
@@ -156,8 +161,8 @@ def yearly_counts(spark, d):
     return wordlist.add_up(wordlist.line_counts(lines)).select("word", F.col("count").cast("double").alias("matches"))
 
 
-def codec_roundtrip(spark, d):
-    entries = ngrams.train(_counts(spark, d))
+def codec_roundtrip(spark, d, source=ITEMS):
+    entries = ngrams.train(_counts(spark, d, source))
     short = spark.createDataFrame([(1, SHORTCUT, ["brb"], "brb", 1, False, False, "be right back")], store.ENTRIES)
     back = fldic.parse(fldic.as_file(fldic.to_lines(entries.unionByName(short))))
     return back.select("entry_type", F.array_join("tokens", JOINED).alias("key"), "score", "shortcut_phrase")
@@ -253,6 +258,10 @@ QUERIES = {
         suggestion_json, grapheme_split, sentence_segment, syllable_division, page_links, context_padding,
     )
 }
+QUERIES |= {
+    f"{f.__name__}_documents": partial(f, source=DOCUMENTS)
+    for f in (ngram_train, penalised_scores, reload_clamp, incremental_merge, ngram_presence, context_ignoring_case, next_word, stream_train, codec_roundtrip)
+}
 
 _W = "[\\p{L}'']+"
 _CORPUS = f"c as (select lang, w as word, count(*) n from (select lang, unnest(regexp_extract_all(text, '{_W}')) w from documents) group by lang, w)"
