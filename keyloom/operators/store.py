@@ -102,14 +102,14 @@ def with_frequency(entries: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.withColumn("frequency", laplace(F.col("score"), F.col("total_score"), F.col("vocab_size"))).select(*entries.columns, "frequency")
 
 
-def merged(entries: DataFrame, entry_type: Column | int, searched: tuple[int, ...] = (0, 1)) -> DataFrame:
-    """Properties of each key over the searched dictionaries: ``tokens, entry_type, text, score, frequency`` and flags.
+def merged(entries: DataFrame, entry_type: Column | int, searched: tuple[int, ...] | None = (0, 1)) -> DataFrame:
+    """Properties of each key over the searched dictionaries (None: all there are): ``tokens, entry_type, text, score, frequency`` and flags.
 
     Scores are added and flags are or-ed; the frequency is the sum over the number of dictionaries in which the key, or
     anything that begins with it, is present at all. One aggregation over entries and their prefixes, so that entries
     and presence need no join.
     """
-    own = entries.filter(F.col("dict_id").isin(*searched))
+    own = entries if searched is None else entries.filter(F.col("dict_id").isin(*searched))
     frequent = with_frequency(own, stats(own))
     here = frequent.filter(F.col("entry_type") == entry_type) if isinstance(entry_type, int) else frequent.filter(entry_type)
     keys = here.select("tokens", "entry_type", F.lit(None).cast("int").alias("present"), "score", "frequency", "is_possibly_offensive", "is_hidden", "text")

@@ -53,6 +53,14 @@ def multi_dict_merge(spark, d):
     return out.select("text", "score", F.round("frequency", 9).alias("frequency"))
 
 
+def multi_dict_merge_all(spark, d):
+    """Every distinct ``lang`` as stored is a dictionary, null one of its own; all are searched."""
+    counts = _corpus_words(spark, d).withColumnsRenamed({"word": "text", "n": "score"})
+    langs = counts.select("lang").distinct().select(F.col("lang").alias("own"), F.row_number().over(Window.orderBy("lang")).alias("dict_id"))  # a row a language
+    out = store.merged(store.as_entries(counts.join(langs, F.col("lang").eqNullSafe(F.col("own"))), F.col("dict_id")), 1, None)
+    return out.select("text", "score", F.round("frequency", 9).alias("frequency"))
+
+
 def _sentences(spark, d, source=ITEMS):
     """The words of each text, whole texts and all rows."""
     return table(spark, d, source[0]).select(source[1], fn.segment_words(F.col("text")).alias("words"))
@@ -252,7 +260,7 @@ def context_padding(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        word_counts_by_lang, vocab_stats, laplace_frequency, multi_dict_merge, ngram_train, penalised_scores, reload_clamp, incremental_merge, ngram_presence,
+        word_counts_by_lang, vocab_stats, laplace_frequency, multi_dict_merge, multi_dict_merge_all, ngram_train, penalised_scores, reload_clamp, incremental_merge, ngram_presence,
         context_ignoring_case, next_word, stream_train, lexicon_senses, lexicon_forms, lexicon_classify, lexicon_counters, lexicon_stats, wordlist_scores,
         wordlist_excluded, yearly_counts, codec_roundtrip, fuzzy_suggest, spell_check, spell_valid, spell_typos, shortcut_expand, flags_decode, case_map,
         suggestion_json, grapheme_split, sentence_segment, syllable_division, page_links, context_padding,

@@ -72,3 +72,16 @@ def test_next_words_of_the_corpus(spark, corpus):
             ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
             want.update((k, rank, b, round(c, 9)) for rank, (b, c) in enumerate(ranked, 1))
     assert run(spark, corpus, "next_word_documents") == want
+
+
+def test_every_language_is_a_dictionary(spark, corpus):
+    counts: dict[str | None, Counter] = {}
+    for (t, lang) in ((t, [None, "en", "EN", "de", "el", "ru"][k % 6]) for k, t in enumerate(TEXTS)):
+        if words(t):
+            counts.setdefault(lang, Counter()).update(words(t))
+    assert None in counts and len(counts) > 2
+    want = Counter()
+    for w in {w for c in counts.values() for w in c}:
+        there = [(c[w], sum(c.values()) + len(c)) for c in counts.values() if w in c]
+        want[w, sum(n for n, _ in there), round(sum((n + 1) / bottom for n, bottom in there) / len(there), 9)] += 1
+    assert run(spark, corpus, "multi_dict_merge_all") == want
