@@ -238,8 +238,8 @@ def grapheme_split(spark, d):
 
 
 def sentence_segment(spark, d):
-    items = table(spark, d, "eval_items")
-    return items.select("item_id", F.posexplode(fn.segment_sentences(F.col("text"))).alias("place", "words")).select("item_id", "place", F.array_join("words", JOINED).alias("words"))
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", F.posexplode(fn.segment_sentences(F.col("text"))).alias("place", "words")).select("doc_id", "place", F.array_join("words", JOINED).alias("words"))
 
 
 def syllable_division(spark, d):

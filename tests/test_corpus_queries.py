@@ -85,3 +85,10 @@ def test_every_language_is_a_dictionary(spark, corpus):
         there = [(c[w], sum(c.values()) + len(c)) for c in counts.values() if w in c]
         want[w, sum(n for n, _ in there), round(sum((n + 1) / bottom for n, bottom in there) / len(there), 9)] += 1
     assert run(spark, corpus, "multi_dict_merge_all") == want
+
+
+def test_sentences_of_the_corpus(spark, corpus):
+    got = run(spark, corpus, "sentence_segment")
+    assert {k for k, _, _ in got} == {k for k, t in enumerate(TEXTS) if t} and got[6, 0, ""] == 1  # a blank is a sentence without words
+    assert got[2, 0, "Θέλω να πάω"] == 1 and got[2, 1, "Θέλω νερό"] == 1 and got[10, 0, TEXTS[10]] == 1
+    assert got[11, 0, TEXTS[11]] == 1  # a long text comes out whole
