@@ -23,11 +23,14 @@ def check_header(lines: DataFrame, strict: bool = False) -> None:
     """Fails where a header names another schema or encoding; a missing one is accepted unless ``strict``."""
     head = lines.filter(F.col("line").startswith("#~"))
     parts = F.split(F.substring("line", 3, 10_000), ":", 2)
-    fields = [(r.key, r.value) for r in head.select(F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")).distinct().limit(100).collect()]
-    for key, wanted in (("schema", SCHEMA_END), ("encoding", ENCODING)):
-        found = [v for k, v in fields if k == key]
-        if not all(v.endswith(wanted) for v in found) or (strict and not found):
-            raise ValueError(f"dictionary {key} is {found or 'missing'}, not {wanted}")
+    key, value = F.trim(parts[0]), F.trim(parts[1])
+    wants = (("schema", SCHEMA_END), ("encoding", ENCODING))
+    right = lambda wanted: F.coalesce(F.endswith(value, F.lit(wanted)), F.lit(False))
+    sums = [c for k, (name, wanted) in enumerate(wants) for c in (F.count_if(key == name).alias(f"there{k}"), F.max(F.when((key == name) & ~right(wanted), F.coalesce(value, F.lit("")))).alias(f"wrong{k}"))]
+    told = head.agg(*sums).first()
+    for k, (name, wanted) in enumerate(wants):
+        if told[f"wrong{k}"] is not None or (strict and not told[f"there{k}"]):
+            raise ValueError(f"dictionary {name} is {told[f'wrong{k}'] if told[f'there{k}'] else 'missing'}, not {wanted}")
 
 
 def sections(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import regex
 
 import __spark_entry__
 from keyloom.config import SOS
+from keyloom.sources import fldic
 
 TEXTS = [
     "To be or not to be, that's the question.", "to BE or not", "Θέλω να πάω. Θέλω νερό!", "слово за слово", None, "", " ", "one", "42 17",
@@ -92,3 +93,13 @@ def test_sentences_of_the_corpus(spark, corpus):
     assert {k for k, _, _ in got} == {k for k, t in enumerate(TEXTS) if t} and got[6, 0, ""] == 1  # a blank is a sentence without words
     assert got[2, 0, "Θέλω να πάω"] == 1 and got[2, 1, "Θέλω νερό"] == 1 and got[10, 0, TEXTS[10]] == 1
     assert got[11, 0, TEXTS[11]] == 1  # a long text comes out whole
+
+
+def test_header_of_many_lines(spark):
+    many = [(f"f{k}", 1, f"#~ note {k}: x") for k in range(3000)]
+    frame = lambda *more: spark.createDataFrame([*many, *(("z", 2, x) for x in more)], "path STRING, line_no INT, line STRING")
+    good = (f"#~ schema: https://x{fldic.SCHEMA_END}", f"#~ encoding: {fldic.ENCODING}")
+    fldic.check_header(frame(*good), strict=True)
+    for bad, strict in ((("#~ schema: y",), False), (("#~ encoding: latin1",), False), (good[:1], True)):
+        with pytest.raises(ValueError):
+            fldic.check_header(frame(*bad), strict=strict)
