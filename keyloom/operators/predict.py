@@ -15,8 +15,6 @@ from keyloom.operators import store
 from keyloom.operators.fuzzy import confidence, fuzzy_matches, similarity
 from keyloom.session import settled
 
-LEVELS = 15  # as many as the flags can ask for
-
 
 def _prepared(requests: DataFrame) -> DataFrame:
     flags = F.coalesce("flags", F.lit(Flags().pack()))
@@ -64,25 +62,28 @@ def _continuations(asked: DataFrame, entries: DataFrame, level: int, searched: t
 
 
 def suggestions(
-    requests: DataFrame, entries: DataFrame, session: Session = Session(), mode: str = SUGGEST, searched: tuple[int, ...] = (0, 1), filter_ngrams: bool = False, most_levels: int = LEVELS, stored: bool = False
+    requests: DataFrame, entries: DataFrame, session: Session = Session(), mode: str = SUGGEST, searched: tuple[int, ...] = (0, 1), filter_ngrams: bool = False, stored: bool = False
 ) -> DataFrame:
     """Ranked suggestions: ``query_id, rank, text, secondary_text, confidence`` and the two flags of a result.
 
     Words are searched in the two dictionaries, contexts in the user's; a text found in several ways keeps its greatest
     confidence. Ties are ranked by text. A count of 0 is no limit. n-grams pass the filter of offensive and hidden
-    words unless ``filter_ngrams`` is set. ``stored`` entries are a table already and need not be written. ``most_levels``: the highest n-gram level any request has, where it is known.
+    words unless ``filter_ngrams`` is set. ``stored`` entries are a table already and need not be written. The
+    levels that are searched, and the most words that may be wanted below a typed prefix, are the requests' own greatest.
     A missing dictionary is an empty one; no requests or no entries give no rows.
     """
     asked = _prepared(requests)
+    wanted = flag(F.col("flags"), 0, 8)
+    told = asked.agg(F.max("levels").alias("levels"), F.max(wanted).alias("top"), F.min(wanted).alias("least")).first()
     columns = ["query_id", "raw_word", "allow_offensive", "show_hidden"]
     entries = entries if stored else settled(entries)  # read several times below
     singles = settled(store.merged(entries, WORD, searched).select("text", "frequency", "is_possibly_offensive", "is_hidden"))
     typed = asked.filter("raw_word <> ''").select(*columns)
     near = session.near_keys
-    found = _scored(fuzzy_matches(typed, singles, session.lookup, near, mode), mode, True)
+    found = _scored(fuzzy_matches(typed, singles, session.lookup, near, mode, top=told.top if told.least else 0), mode, True)
     phrases = entries.filter((F.col("entry_type") == SHORTCUT) & F.col("dict_id").isin(*searched)).select(F.col("text").alias("raw_word"), "shortcut_phrase")
     found = found.unionByName(typed.join(phrases, "raw_word").select("query_id", F.col("shortcut_phrase").alias("text"), F.lit(1.0).alias("confidence")))
-    for level in range(2, most_levels + 1):
+    for level in range(2, (told.levels or 1) + 1):
         own, listed = _continuations(asked.filter(F.col("levels") >= level), entries, level, searched)
         matches = fuzzy_matches(own.select(*columns, "head"), settled(listed), session.lookup, near, mode, ("head",))
         found = found.unionByName(_scored(matches, mode, filter_ngrams))
@@ -103,14 +104,14 @@ def known_words(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return requests.join(there, "raw_word", "left_semi").select(*requests.columns)
 
 
-def spell(requests: DataFrame, entries: DataFrame, session: Session = Session(), searched: tuple[int, ...] = (0, 1), most_levels: int = LEVELS, stored: bool = False) -> DataFrame:
+def spell(requests: DataFrame, entries: DataFrame, session: Session = Session(), searched: tuple[int, ...] = (0, 1), stored: bool = False) -> DataFrame:
     """``query_id, result, suggestions``: bits of the result, and for words in no dictionary the ranked suggestions."""
     asked = requests.withColumn("raw_word", F.coalesce("raw_word", F.lit("")))
     entries = entries if stored else settled(entries)
     there = store.presence(entries).filter(F.size("tokens") == 1).select(F.element_at("tokens", 1).alias("raw_word")).distinct().withColumn("known", F.lit(True))
     judged = asked.join(there, "raw_word", "left")
     typos = judged.filter("known IS NULL AND raw_word <> ''").select(*requests.columns)
-    ranked = suggestions(typos, entries, session, SPELL, searched, most_levels=most_levels, stored=True)
+    ranked = suggestions(typos, entries, session, SPELL, searched, stored=True)
     lists = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("s"))
     bits = F.when(F.col("raw_word") == "", 0).when(F.col("known"), IN_DICTIONARY).otherwise(TYPO)
     return judged.join(lists, "query_id", "left").select("query_id", bits.alias("result"), F.coalesce(F.col("s.text"), F.array().cast("array<string>")).alias("suggestions"))

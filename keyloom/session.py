@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Largest table, in rows, that the engine sends to every executor. Larger ones take a shuffled path.
 BROADCAST_ROWS = 200_000
+#: Most bytes of text that are sent to every executor.
+BROADCAST_BYTES = 16_000_000
 
 
 def build_session(cores: int | str = "*", app: str = "keyloom", shuffle: int = 8, memory: str = "8g") -> SparkSession:
@@ -21,6 +23,7 @@ def build_session(cores: int | str = "*", app: str = "keyloom", shuffle: int = 8
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", os.environ.get("KEYLOOM_SHARED_DIR") or os.path.join(tempfile.gettempdir(), f"keyloom-{uuid.uuid4().hex[:12]}"))  # one machine
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -50,9 +53,30 @@ def settled(df: DataFrame) -> DataFrame:
         df.sparkSession.sparkContext.setCheckpointDir(shared)
     place = f"{shared.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(place)
+    _written.append(place)
     return df.sparkSession.read.parquet(place)
 
 
+def place_for(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one, that ``drop_settled`` removes."""
+    place = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append(place)
+    return place
+
+
+_written: list[str] = []
+
+
+def drop_settled(spark: SparkSession) -> int:
+    """Deletes every table that ``settled`` wrote for this process so far; results that still read them are lost, so
+    call it when they are consumed. Returns how many were removed."""
+    jvm, removed = spark._jvm, 0
+    while _written:
+        place = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        removed += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    return removed
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

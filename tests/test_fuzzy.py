@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from keyloom.config import SPELL, SUGGEST, Lookup
-from keyloom.operators.fuzzy import candidate_pairs, fuzzy_matches, score_pairs
+from keyloom.operators import fuzzy
+from keyloom.operators.fuzzy import fuzzy_matches, score_pairs
 
 # typed, word, cost and way without prefixes, with prefixes (None: not found)
 GOLDEN = [
@@ -65,18 +66,68 @@ def test_against_the_definition(prefixes, near):
         assert got == [plain(a, b, x, near, prefixes) for a, b in pairs]
 
 
+@pytest.mark.parametrize("prefixes", [False, True])
+@pytest.mark.parametrize("near", [{}, {"a": ("b", "c"), "d": ("a",)}])
+def test_the_walk_finds_what_pairs_find(prefixes, near, monkeypatch):
+    monkeypatch.setattr(fuzzy, "HELD_ROWS", 150)
+    rng = random.Random(8)
+    word = lambda least: "".join(rng.choice(["a", "b", "c", "d", "A", "é", "e\u0301"]) for _ in range(rng.randint(least, 7)))
+    typed, words = sorted({word(0) for _ in range(50)} | {""}), sorted({word(0) for _ in range(120)} | {""})
+    for x in (Lookup(), Lookup(max_cost=2.0, delete=0.75, transpose=0.25, insert_start=0.75), Lookup(max_cost=0.5), Lookup(max_cost=0), Lookup(insert=0, insert_start=0, delete=0)):
+        got = list(zip(*fuzzy.Tree(words).walk(typed, x, near, prefixes)))
+        assert len({(q, w) for q, w, *_ in got}) == len(got)
+        every = {(q, w): plain(fuzzy.signs_of(t), fuzzy.signs_of(c), x, near, prefixes) for q, t in enumerate(typed) for w, c in enumerate(words)}
+        assert {(q, w): (c, bool(v)) for q, w, c, v in got} == {k: v for k, v in every.items() if v}
+    assert len(fuzzy.Tree([]).walk(["a", ""], Lookup(), near, prefixes)[0]) == 0 and len(fuzzy.Tree(["a"]).walk([], Lookup(), near, prefixes)[0]) == 0
+
+
 @pytest.mark.parametrize("mode", [SPELL, SUGGEST])
-def test_blocking_loses_nothing(spark, mode):
+@pytest.mark.parametrize("held", [16_000_000, 0])
+def test_blocks_lose_nothing(spark, mode, held, monkeypatch):
+    monkeypatch.setattr(fuzzy, "BROADCAST_BYTES", held)
+    monkeypatch.setattr(fuzzy, "TREE_WORDS", 70)
+    monkeypatch.setattr(fuzzy, "ASKED_WORDS", 7)
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcAé") for _ in range(rng.randint(1, 9)))
     typed, words = sorted({word() for _ in range(60)}), sorted({word() for _ in range(200)})
-    left = spark.createDataFrame([(k, w) for k, w in enumerate(typed)], "query_id BIGINT, raw_word STRING")
-    right = spark.createDataFrame([(w, 7) for w in words], "text STRING, cost_centre INT")
-    pairs = candidate_pairs(left, right, mode=mode).select("query_id", "text").collect()
-    assert len(pairs) == len(set(pairs))
-    got = {(r.query_id, r.text): (r.cost, r.via_prefix) for r in fuzzy_matches(left, right, mode=mode).collect()}
-    every = {(k, w): plain(t, w, Lookup(), {}, mode == SUGGEST) for k, t in enumerate(typed) for w in words}
-    assert got == {k: v for k, v in every.items() if v}
+    asked = [*enumerate(typed), *((k + 1000, typed[0]) for k in range(30))]
+    left = spark.createDataFrame(asked, "query_id BIGINT, raw_word STRING")
+    right = spark.createDataFrame([(w, 7) for w in words], "text STRING, kl_typed INT")
+    found = fuzzy_matches(left, right.withColumnRenamed("kl_typed", "cost_centre"), mode=mode).collect()
+    got = {(r.query_id, r.text): (r.cost, r.via_prefix) for r in found}
+    every = {(k, w): plain(t, w, Lookup(), {}, mode == SUGGEST) for k, t in asked for w in words}
+    assert got == {k: v for k, v in every.items() if v} and len(found) == len(got)
+
+
+def test_the_best_below_a_prefix(spark):
+    rng = random.Random(4)
+    words = [(w, rng.choice([0.0, 0.1, 0.2, 0.3]), rng.random() < 0.2, rng.random() < 0.2) for w in sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 8))) for _ in range(300)})]
+    left = spark.createDataFrame([(1, "a"), (2, "ab"), (3, "b"), (4, "")], "query_id BIGINT, raw_word STRING")
+    right = spark.createDataFrame(words, "text STRING, frequency DOUBLE, is_possibly_offensive BOOLEAN, is_hidden BOOLEAN")
+    best = {}
+    for top in (0, 3):
+        for r in fuzzy_matches(left, right, top=top).collect():
+            merit = -fuzzy_confidence(r.cost, r.via_prefix, left_word[r.query_id], r.text, r.frequency)
+            if r.frequency > 0:
+                best.setdefault((top, r.query_id, r.is_possibly_offensive, r.is_hidden), []).append((merit, r.text))
+    for (top, *key), found in best.items():
+        if top == 0:
+            assert sorted(found)[:3] == sorted(best[(3, *key)])[:3]
+
+
+left_word = {1: "a", 2: "ab", 3: "b", 4: ""}
+
+
+def fuzzy_confidence(cost, via, typed, word, frequency):
+    return (1.0 - cost / (max(1, len(typed)) if via else max(len(typed), len(word))) + 0.1 * frequency) / 1.1
+
+
+def test_pairs_within_a_context(spark):
+    left = spark.createDataFrame([(1, "x", "ab"), (2, "x", ""), (3, "y", "ab"), (4, None, "ab")], "query_id BIGINT, head STRING, raw_word STRING")
+    right = spark.createDataFrame([("x", "abc"), ("x", "zz"), ("y", ""), ("y", None), (None, "ab")], "head STRING, text STRING")
+    got = lambda mode: {(r.query_id, r.text, r.cost, r.via_prefix) for r in fuzzy_matches(left, right, mode=mode, on=("head",)).collect()}
+    assert got(SUGGEST) == {(1, "abc", 0.0, True), (1, "zz", 1.5, False), (2, "abc", 0.0, True), (2, "zz", 0.0, True)}
+    assert got(SPELL) == {(1, "abc", 0.5, False), (1, "zz", 1.5, False), (2, "abc", 1.5, False), (2, "zz", 1.0, False)}
 
 
 def test_nulls_and_empty_tables(spark):
