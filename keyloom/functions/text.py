@@ -134,6 +134,26 @@ def padded_context(previous: Column, size: int) -> Column:
     return F.slice(whole, -size, size)
 
 
+SUGGESTION = "text STRING, secondaryText STRING, confidence DOUBLE, isEligibleForAutoCommit BOOLEAN, isEligibleForUserRemoval BOOLEAN"
+
+
+def suggestion_to_json(text: Column, secondary: Column, confidence: Column, auto_commit: Column, removal: Column) -> Column:
+    """A suggestion as JSON, under the published names; null values have no key."""
+    names = [x.split()[0] for x in SUGGESTION.split(", ")]
+    return F.to_json(F.struct(*(c.alias(n) for c, n in zip((text, secondary, confidence, auto_commit, removal), names))))
+
+
+def suggestion_from_json(source: Column) -> Column:
+    """A suggestion's struct of its JSON; absent keys are null, what isn't JSON gives nulls."""
+    return F.from_json(source, SUGGESTION)
+
+
+def shift_label(state: Column) -> Column:
+    """Two letters for a shift state."""
+    # Unshifted, manual and automatic shift, caps lock.
+    return F.coalesce(F.get(F.array(*map(F.lit, ("US", "SM", "SA", "CL"))), state), F.lit("??"))
+
+
 # Bits of a spelling result.
 IN_DICTIONARY, TYPO, RECOMMENDED, GRAMMAR, NO_UI = 1, 2, 4, 8, 16
 

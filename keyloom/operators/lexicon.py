@@ -30,7 +30,7 @@ def matches(rules: Rules, word: Column, tags: Column, categories: Column) -> Col
     """Whether a pattern fits the whole word, or a tag or a category is listed."""
     out = F.lit(False)
     for p in rules.words:
-        out = out | word.rlike(rf"^(?:{p})\z" if not p.endswith("$") else f"^(?:{p})")
+        out = out | word.rlike(rf"\A(?:{p})\z")
     if rules.tags:
         out = out | F.arrays_overlap(tags, F.array(*map(F.lit, rules.tags)))
     if rules.categories:
@@ -133,11 +133,19 @@ def counters(records: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count("*").alias("n"))
 
 
-def stats_json(records: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row ``stats``: totals by class and counters as JSON."""
-    total = classes.groupBy(F.lit("class").alias("kind"), F.col("class").alias("name")).agg(F.count("*").alias("n"))
-    rows = counters(records).unionByName(total)
-    named = F.struct(F.coalesce("name", F.lit("")).alias("name"), "n")
-    per = rows.groupBy("kind").agg(F.array_sort(F.collect_list(named)).alias("counts"))  # kinds, tags and categories are few
-    sorted_ = F.array_sort(F.collect_list(F.struct("kind", "counts")))
-    return per.agg(F.to_json(F.map_from_entries(F.transform(sorted_, lambda x: F.struct(x["kind"], F.map_from_entries(x["counts"]))))).alias("stats"))
+def stats(records: DataFrame, classes: DataFrame) -> DataFrame:
+    """``kind, name, n``: the counters of all records, and the words of each class (kind ``class``). Nulls are counted
+    under a null name."""
+    return counters(records).unionByName(classes.groupBy(F.lit("class").alias("kind"), F.col("class").alias("name")).agg(F.count("*").alias("n")))
+
+
+def write_stats(rows: DataFrame, path: str, seconds: float) -> None:
+    """The statistics as JSON lines, one object a part of speech, tag and category (these grow with the lexicon, so they
+    are written where they are), and one with the duration and the totals under the published names."""
+    total = lambda kind, *names: F.coalesce(F.sum(F.when((F.col("kind") == kind) & F.col("name").isin(*names), F.col("n"))), F.lit(0))
+    totals = rows.agg(
+        F.lit(int(seconds)).alias("_parse_duration_in_seconds"), total("records", "").alias("_total_raw_words"), total("senses", "").alias("_total_raw_senses"), total("class", "excluded", "invalid").alias("_total_words_excluded"),
+        total("class", "offensive").alias("_total_words_offensive"), total("class", "normal").alias("_total_words_normal"),
+    )
+    each = rows.filter("kind IN ('pos', 'tag', 'category')").select(F.to_json(F.struct(F.concat("kind", F.lit("_stats")).alias("stats"), F.coalesce("name", F.lit("")).alias("name"), "n")).alias("value"))
+    each.unionByName(totals.select(F.to_json(F.struct(*totals.columns)).alias("value"))).write.mode("overwrite").text(path)

@@ -20,9 +20,11 @@ def lines_of(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_header(lines: DataFrame, strict: bool = False) -> None:
-    """Fails where a header names another schema or encoding; a missing one is accepted unless ``strict``."""
-    head = lines.filter(F.col("line").startswith("#~"))
-    parts = F.split(F.substring("line", 3, 10_000), ":", 2)
+    """Fails where a header names another schema or encoding; a missing one is accepted unless ``strict``. The header of
+    a file is what stands before its first section."""
+    first = lines.filter(F.col("line").startswith("[")).groupBy("path").agg(F.min("line_no").alias("first"))
+    head = lines.filter(F.col("line").startswith("#~")).join(first, "path", "left").filter("first IS NULL OR line_no < first")
+    parts = F.split(F.expr("substring(line, 3)"), ":", 2)
     key, value = F.trim(parts[0]), F.trim(parts[1])
     wants = (("schema", SCHEMA_END), ("encoding", ENCODING))
     right = lambda wanted: F.coalesce(F.endswith(value, F.lit(wanted)), F.lit(False))

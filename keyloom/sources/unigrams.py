@@ -94,10 +94,11 @@ def load_unigrams(df: DataFrame, line: str = "line", key: str = "line_id") -> tu
     """(valid, rejected) of raw lines, a line delivered again counting once.
 
     valid: ``key, word, year, match_count, volume_count``, one row per data point. rejected: ``key, line, reason``.
-    The two share one parse; neither drops a record: each distinct (key, line) is in exactly one of them.
+    The lines are parsed where they lie, and repeats leave before a line is opened into its points: by key and two hashes
+    of the line (128 bits), so that whole lines aren't compared. Neither result drops a record: each distinct (key, line)
+    is in exactly one of them.
     """
-    once = df.select(key, line).dropDuplicates()
-    parsed = parse_lines(once, line)
+    parsed = parse_lines(df.select(key, line), line).withColumns({"kl_a": F.xxhash64(line), "kl_b": F.xxhash64(F.lit(1), F.col(line))}).dropDuplicates([key, "kl_a", "kl_b"])
     good = parsed.filter(F.col("kl_reason").isNull()).select(key, F.col("kl_token").alias("word"), F.explode("kl_points").alias("p"))
     valid = good.select(key, "word", "p.year", "p.match_count", "p.volume_count")
     rejected = parsed.filter(F.col("kl_reason").isNotNull()).select(key, line, F.col("kl_reason").alias("reason"))
@@ -122,3 +123,20 @@ def read_unigram_files(spark: SparkSession, folder: str) -> DataFrame:
     """Raw lines of the files ``1-*.gz`` of a folder: ``partition_file, line`` (one task a file, as gzip can't be split)."""
     files = spark.read.option("pathGlobFilter", "1-*.gz").text(folder)
     return files.select(F.col("_metadata.file_name").alias("partition_file"), F.col("value").alias("line"))
+
+
+def write_unigram_files(lines: DataFrame, folder: str) -> None:
+    """``partition_file, line`` as gzip files ``1-*.gz`` named by their partition, each by one task, as gzip can't be
+    split. Null lines and lines that hold a line end can't be written and are an error."""
+    bad = F.col("line").isNull() | F.col("line").rlike(r"[\r\n]")
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("can't be written: "), F.coalesce("line", F.lit("null")))).cast("string")).otherwise(F.col("line"))
+    lines.select("partition_file", checked.alias("line")).repartition("partition_file").write.mode("overwrite").partitionBy("partition_file").option("compression", "gzip").text(folder)
+    jvm = lines.sparkSession._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(lines.sparkSession._jsc.hadoopConfiguration())
+    for held in files.listStatus(root):  # a folder a partition
+        if held.isDirectory():
+            name = held.getPath().getName().partition("=")[2]
+            for part in files.globStatus(jvm.org.apache.hadoop.fs.Path(held.getPath(), "part-*")):
+                files.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(root, name))
+            files.delete(held.getPath(), True)

@@ -49,15 +49,15 @@ def test_ngrams_of_the_corpus(spark, corpus):
         total[len(t)] += n
     trained = Counter((" ".join(t), len(t), n * 129) for t, n in g.items())
     for name in ("ngram_train", "incremental_merge", "stream_train"):
-        assert run(spark, corpus, f"{name}_documents") == trained, name
-    assert run(spark, corpus, "penalised_scores_documents") == Counter((" ".join(t), len(t), n * 129 - total[len(t)]) for t, n in g.items())
+        assert run(spark, corpus, name) == trained, name
+    assert run(spark, corpus, "penalised_scores") == Counter((" ".join(t), len(t), n * 129 - total[len(t)]) for t, n in g.items())
     clamped = Counter((k, sum(max(n * 129 - total[k], 0) for t, n in g.items() if len(t) == k), sum(len(t) == k for t in g)) for k in (1, 2, 3))
-    assert run(spark, corpus, "reload_clamp_documents") == clamped
-    assert run(spark, corpus, "ngram_presence_documents") == Counter((" ".join(x),) for x in {t[:k] for t in g for k in range(1, len(t) + 1)})
-    assert run(spark, corpus, "codec_roundtrip_documents") == Counter((len(t), " ".join(t), n * 129, None) for t, n in g.items()) + Counter([(-1, "brb", 1, "be right back")])
+    assert run(spark, corpus, "reload_clamp") == clamped
+    assert run(spark, corpus, "ngram_presence") == Counter((" ".join(x),) for x in {t[:k] for t in g for k in range(1, len(t) + 1)})
+    assert run(spark, corpus, "codec_roundtrip") == Counter((len(t), " ".join(t), n * 129, len(t) == 1 and len(t[0]) % 2 == 0, len(t) == 1 and len(t[0]) % 3 == 0, None) for t, n in g.items()) + Counter([(-1, "brb", 1, False, False, "be right back")])
     upper = {tuple(x.upper() for x in t) for t in g if len(t) == 2}
     alike = Counter((" ".join(t), " ".join(u)) for t in g if len(t) == 2 for u in upper if [x.lower() for x in t] == [x.lower() for x in u])
-    assert run(spark, corpus, "context_ignoring_case_documents") == alike
+    assert run(spark, corpus, "context_ignoring_case") == alike
 
 
 def test_next_words_of_the_corpus(spark, corpus):
@@ -72,7 +72,7 @@ def test_next_words_of_the_corpus(spark, corpus):
                     best[b] = max(best.get(b, 0), (1 + 0.1 * ((score + 1) / bottom)) / 1.1)
             ranked = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
             want.update((k, rank, b, round(c, 9)) for rank, (b, c) in enumerate(ranked, 1))
-    assert run(spark, corpus, "next_word_documents") == want
+    assert run(spark, corpus, "next_word") == want
 
 
 def test_every_language_is_a_dictionary(spark, corpus):
@@ -85,7 +85,7 @@ def test_every_language_is_a_dictionary(spark, corpus):
     for w in {w for c in counts.values() for w in c}:
         there = [(c[w], sum(c.values()) + len(c)) for c in counts.values() if w in c]
         want[w, sum(n for n, _ in there), round(sum((n + 1) / bottom for n, bottom in there) / len(there), 9)] += 1
-    assert run(spark, corpus, "multi_dict_merge_all") == want
+    assert run(spark, corpus, "multi_dict_merge") == want
 
 
 def test_sentences_of_the_corpus(spark, corpus):
@@ -98,6 +98,7 @@ def test_sentences_of_the_corpus(spark, corpus):
 def test_header_of_many_lines(spark):
     many = [(f"f{k}", 1, f"#~ note {k}: x") for k in range(3000)]
     frame = lambda *more: spark.createDataFrame([*many, *(("z", 2, x) for x in more)], "path STRING, line_no INT, line STRING")
+    fldic.check_header(frame().unionByName(spark.createDataFrame([("z", 3, "[words]"), ("z", 4, "#~ schema: y")], "path STRING, line_no INT, line STRING")))  # a comment behind the header
     good = (f"#~ schema: https://x{fldic.SCHEMA_END}", f"#~ encoding: {fldic.ENCODING}")
     fldic.check_header(frame(*good), strict=True)
     for bad, strict in ((("#~ schema: y",), False), (("#~ encoding: latin1",), False), (good[:1], True)):
