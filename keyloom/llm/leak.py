@@ -1,9 +1,11 @@
 """Passages of evaluation texts in a corpus of messages: a distributed positional inverted index.
 
 The corpus is cut into blocks of documents, and each block's index has, for every term of the test texts, the sorted
-positions at which it stands. The index is written once to the shared folder. A test passage is then looked up in each
-block by intersecting its terms' position lists, shifted by their places in the passage, beginning with the term that is
-rarest in the whole corpus; a block is one task's work, so no list of a common term is ever shuffled or held whole.
+positions at which it stands. The index is written once to the shared folder. Every window of a test text is joined by
+its term that is rarest in the whole corpus to the blocks that hold this term, so that a block sees only the test texts
+that it may hold; there the windows' position lists are intersected, shifted by their places and beginning with the
+rarest. A block is one task's work, so no list of a common term is ever shuffled apart or held whole, and nothing about the
+test texts is kept on the driver.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from keyloom.session import settled
 WORDS = 12
 #: Characters and documents in a block of the index.
 BLOCK_CHARS, BLOCK_DOCS = 4_000_000, 4_000
-#: Test texts looked up at once, and most terms that the index is limited to; with more of them it has every term.
-ITEMS_AT_ONCE, TERMS = 5_000, 1_000_000
+#: Test texts in one list of a block's candidates, and most terms that the index is limited to; with more it has every term.
+ITEMS_AT_ONCE, TERMS = 2_000, 200_000
 _INDEX = "kl_block BIGINT, kl_docs ARRAY<BIGINT>, kl_starts ARRAY<BIGINT>, kl_terms ARRAY<STRING>, kl_counts ARRAY<INT>, kl_positions ARRAY<BINARY>"
 
 
@@ -42,7 +44,7 @@ def words_of(text: str) -> list[str]:
     return _word().findall(unicodedata.normalize("NFC", text).casefold() if not text.isascii() else text.lower())
 
 
-def _indexed(terms):
+def _indexed(terms, gap: int):
     def rows(block: int, docs: list[int], starts: list[int], numbers: list[np.ndarray], places: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
         number = np.concatenate([np.zeros(0, np.int64), *numbers])
         place = np.concatenate([np.zeros(0, np.int64), *places])
@@ -81,7 +83,7 @@ def _indexed(terms):
                     own = np.flatnonzero(number >= 0)
                     numbers.append(number[own])
                     places.append(own + at)
-                    at += len(words) + 1  # no passage goes over the end of a part
+                    at += len(words) + gap  # no passage goes over the end of a part, not even with some slack
                 chars += len(text)
                 if chars >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
                     yield rows(block, docs, starts, numbers, places, names)
@@ -93,10 +95,33 @@ def _indexed(terms):
     return run
 
 
-def build_index(corpus: DataFrame, doc_id: str, text: str, terms: list[str] | None = None) -> DataFrame:
-    """The index of ``corpus``, one row a block of documents; with ``terms`` of these only. Null texts have no entry."""
+def build_index(corpus: DataFrame, doc_id: str, text: str, terms: list[str] | None = None, slack: int = 0) -> DataFrame:
+    """The index of ``corpus``, one row a block of documents; with ``terms`` of these only. Null texts have no entry.
+
+    ``slack``: the greatest one that the index will be asked with; parts and documents lie so far apart that no match can
+    reach from one into the next.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast(terms) if terms is not None else None
-    return settled(corpus.select(corpus[doc_id].cast("bigint").alias("kl_doc"), corpus[text].alias("kl_text")).mapInArrow(_indexed(shared), _INDEX))
+    rows = corpus.select(corpus[doc_id].cast("bigint").alias("kl_doc"), corpus[text].alias("kl_text"))
+    return settled(rows.mapInArrow(_indexed(shared, 1 + 2 * slack), _INDEX))
+
+
+def _anchors(length: int):
+    """Column function (frequency of each word of a text) -> the windows by their rarest word: its place, and the first
+    and the last window that has it as its rarest. Windows with a word the corpus lacks are left out."""
+
+    def of(frequency: list[int | None]) -> list[tuple[int, int, int]]:
+        n = np.array([x or 0 for x in frequency], np.int64)
+        if len(n) < length:
+            return []
+        windows = np.lib.stride_tricks.sliding_window_view(n, length)
+        first = np.flatnonzero(windows.min(axis=1) > 0)
+        place = first + windows[first].argmin(axis=1)
+        begins = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (first[1:] != first[:-1] + 1))) if len(first) else first
+        ends = np.append(begins[1:], len(first)) - 1 if len(first) else first
+        return [(int(p), int(a), int(b)) for p, a, b in zip(place[begins], first[begins], first[ends])]
+
+    return F.udf(of, "array<struct<place: int, first: int, last: int>>", useArrow=True)
 
 
 def _near(held: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
@@ -105,41 +130,40 @@ def _near(held: np.ndarray, wanted: np.ndarray, slack: int) -> np.ndarray:
     return (k < len(held)) & (held[np.minimum(k, len(held) - 1)] <= wanted + slack)
 
 
-def _look_up(model, length: int, slack: int):
+def _look_up(length: int, slack: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, frequency = model.value
         for b in batches:
-            for docs, starts, terms, lists in zip(*(b.column(k) for k in (1, 2, 3, 5))):
+            for docs, starts, terms, lists, asked in zip(*(b.column(k) for k in range(5))):
                 doc, start = np.array(docs.values.to_numpy()), np.array(starts.values.to_numpy())
                 held = {t: x for t, x in zip(terms.values.to_pylist(), lists.values)}
                 ready: dict[str, np.ndarray] = {}
+
+                def places(w: str) -> np.ndarray:
+                    if w not in ready:
+                        ready[w] = np.frombuffer(held[w].as_buffer(), np.uint32).astype(np.int64)
+                    return ready[w]
+
                 found: set[tuple[int, int]] = set()
-                for item, words in items:
-                    if sum(w in held for w in words) < length:
-                        continue
+                for item in asked.as_py():
+                    words, frequency = item["words"], item["frequency"]
                     done: set[int] = set()
-                    for first in range(len(words) - length + 1):
-                        window = words[first : first + length]
-                        if not all(w in held for w in window):
-                            continue
-                        order = sorted(range(length), key=lambda k: (frequency.get(window[k], 0), k))
-                        places = None
-                        for k in order:
-                            w = window[k]
-                            if w not in ready:
-                                ready[w] = np.frombuffer(held[w].as_buffer(), np.uint32).astype(np.int64)
-                            if places is None:
-                                places = ready[w] - k
-                                if done:
-                                    places = places[~np.isin(np.searchsorted(start, places, "right") - 1, list(done))]
-                            else:
-                                places = places[_near(ready[w], places + k, slack)]
-                            if not len(places):
-                                break
-                        if len(places):
-                            own = np.unique(np.searchsorted(start, places, "right") - 1)
-                            done.update(own.tolist())
-                    found.update((int(doc[k]), item) for k in done)
+                    for anchor in item["anchors"]:
+                        at = places(words[anchor["place"]])
+                        own = np.searchsorted(start, at, "right") - 1  # the document of each place
+                        for first in range(anchor["first"], anchor["last"] + 1):
+                            window = words[first : first + length]
+                            if not all(w in held for w in window):
+                                continue
+                            kept = ~np.isin(own, list(done)) if done else np.ones(len(at), bool)
+                            begin = np.concatenate([at[kept] - (anchor["place"] - first) - d for d in range(-slack, slack + 1)])
+                            document = np.tile(own[kept], 2 * slack + 1)
+                            for k in sorted(range(length), key=lambda k: (frequency[first + k], k)):
+                                if not len(begin):
+                                    break
+                                hit = _near(places(window[k]), begin + k, slack)
+                                begin, document = begin[hit], document[hit]
+                            done.update(document.tolist())
+                    found.update((int(doc[k]), item["item"]) for k in done)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], ["kl_doc", "kl_item"])
 
@@ -147,30 +171,35 @@ def _look_up(model, length: int, slack: int):
 
 
 def leaked_items(
-    corpus: DataFrame, doc_id: str, text: str, tests: DataFrame, item_id: str, passage: str, length: int = WORDS, slack: int = 0
+    corpus: DataFrame, doc_id: str, text: str, tests: DataFrame, item_id: str, passage: str, length: int = WORDS, slack: int = 0, index: DataFrame | None = None
 ) -> DataFrame:
     """``doc_id, item_id`` of each message that holds ``length`` consecutive words of a test text, each pair once.
 
-    ``slack`` 0 gives exact phrases; with more, each word may stand up to so many places beside its own (proximity).
+    ``slack`` 0 gives exact phrases. With more, there is a place in a part from which on each word stands at most so many
+    places beside its own (proximity): words may change order or have others between them, within these bounds.
     Null and empty texts on either side, and test texts shorter than ``length``, match nothing; test texts with the same
-    words match alike; empty tables give no rows. Test texts are looked up ``ITEMS_AT_ONCE`` at a time, all against all
-    blocks.
+    words match alike; empty tables give no rows. ``index``: one kept from ``build_index``, with all terms of the test
+    texts and at least this slack; then the corpus isn't read.
     """
-    spark = corpus.sparkSession
-    rows = tests.select(tests[item_id].cast("bigint").alias("kl_item"), tests[passage].alias("kl_text")).filter("kl_item IS NOT NULL AND kl_text IS NOT NULL")
-    count = rows.count()
     split = F.udf(words_of, "array<string>", useArrow=True)
-    vocabulary = rows.select(F.explode(split("kl_text")).alias("t")).distinct()
-    terms = [r.t for r in vocabulary.limit(TERMS + 1).collect()] if count <= TERMS else None
-    index = build_index(corpus, doc_id, text, sorted(terms) if terms is not None and len(terms) <= TERMS else None)
-    frequency = index.select(F.explode(F.arrays_zip("kl_terms", "kl_counts")).alias("x")).groupBy("x.kl_terms").agg(F.sum("x.kl_counts").alias("n"))
-    pieces = -(-count // ITEMS_AT_ONCE)
-    out = spark.createDataFrame([], "kl_doc BIGINT, kl_item BIGINT")
-    for k in range(pieces):
-        piece = rows.filter(F.pmod(F.hash("kl_item"), F.lit(pieces)) == k)
-        items = [(r.kl_item, w) for r in piece.collect() if len(w := words_of(r.kl_text)) >= length]
-        own = spark.createDataFrame([(t,) for t in sorted({w for _, x in items for w in x})], "kl_terms STRING")
-        known = {r.kl_terms: r.n for r in frequency.join(own, "kl_terms").collect()}  # as many as the piece has terms
-        model = spark.sparkContext.broadcast((items, known))
-        out = out.unionByName(index.mapInArrow(_look_up(model, length, slack), "kl_doc BIGINT, kl_item BIGINT"))
-    return out.distinct().withColumnsRenamed({"kl_doc": doc_id, "kl_item": item_id})
+    rows = tests.select(tests[item_id].cast("bigint").alias("kl_item"), tests[passage].alias("kl_text")).filter("kl_item IS NOT NULL AND kl_text IS NOT NULL")
+    items = settled(rows.select("kl_item", split("kl_text").alias("kl_words")).filter(F.size("kl_words") >= length).withColumn("kl_no", F.monotonically_increasing_id()))
+    count = items.count()
+    vocabulary = items.select(F.explode("kl_words").alias("kl_term")).distinct()
+    terms = [r.kl_term for r in vocabulary.limit(TERMS + 1).collect()]
+    few = len(terms) <= TERMS
+    if index is None:
+        index = build_index(corpus, doc_id, text, sorted(terms) if few else None, slack)
+    postings = index.select("kl_block", F.explode(F.arrays_zip("kl_terms", "kl_counts")).alias("x")).select("kl_block", F.col("x.kl_terms").alias("kl_term"), F.col("x.kl_counts").alias("n"))
+    frequency = postings.groupBy("kl_term").agg(F.sum("n").alias("kl_n"))
+    if few:  # at most TERMS rows
+        frequency = F.broadcast(frequency.join(F.broadcast(vocabulary), "kl_term", "left_semi"))
+    each = items.select("kl_no", F.posexplode("kl_words").alias("pos", "kl_term")).join(frequency, "kl_term", "left")
+    told = each.groupBy("kl_no").agg(F.array_sort(F.collect_list(F.struct("pos", "kl_n"))).alias("x")).select("kl_no", F.col("x.kl_n").alias("kl_frequency"))
+    known = settled(items.join(told, "kl_no").withColumn("kl_anchors", _anchors(length)("kl_frequency")).filter(F.size("kl_anchors") > 0))
+    anchors = known.select("kl_no", F.explode("kl_anchors").alias("a"), "kl_words").select("kl_no", "a", F.get("kl_words", F.col("a.place")).alias("kl_term"))
+    met = anchors.join(postings.select("kl_block", "kl_term"), "kl_term").groupBy("kl_block", "kl_no").agg(F.collect_list("a").alias("anchors"))
+    asked = met.join(known, "kl_no").select("kl_block", F.pmod(F.hash("kl_no"), F.lit(-(-count // ITEMS_AT_ONCE) or 1)).alias("kl_list"), F.struct(F.col("kl_item").alias("item"), F.col("kl_words").alias("words"), F.col("kl_frequency").alias("frequency"), "anchors").alias("q"))
+    lists = asked.groupBy("kl_block", "kl_list").agg(F.collect_list("q").alias("kl_asked"))
+    found = index.join(lists, "kl_block").select("kl_docs", "kl_starts", "kl_terms", "kl_positions", "kl_asked").mapInArrow(_look_up(length, slack), "kl_doc BIGINT, kl_item BIGINT")
+    return found.distinct().withColumnsRenamed({"kl_doc": doc_id, "kl_item": item_id})

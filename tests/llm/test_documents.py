@@ -80,14 +80,45 @@ def test_leaks_against_shingles(spark, monkeypatch):
     items = spark.createDataFrame([(1, ITEM), (2, "short one"), (3, None), (4, ""), (5, ITEM.title()), (6, "a b c d e f g h i j k l m")], "item_id BIGINT, text STRING")
     got = {(r.doc_id, r.item_id) for r in leak.leaked_items(docs(spark, texts), "doc_id", "text", items, "item_id", "text").collect()}
     assert got == {(d, i) for d in (0, 1, 4, 5, 6, 12) for i in (1, 5)}
-    every = {(r.doc_id, r.item_id) for r in leak.leaked_items(docs(spark, texts), "doc_id", "text", items, "item_id", "text", slack=1).collect()}
-    assert got <= every
+    terms = sorted({w for t in [ITEM, "a b c d e f g h i j k l m"] for w in leak.words_of(t)})
+    index = leak.build_index(docs(spark, texts), "doc_id", "text", terms, 2)
+    assert {(r.doc_id, r.item_id) for r in leak.leaked_items(docs(spark, texts), "doc_id", "text", items, "item_id", "text", index=index).collect()} == got
     monkeypatch.setattr(leak, "TERMS", 5)
-    monkeypatch.setattr(leak, "ITEMS_AT_ONCE", 2)
+    monkeypatch.setattr(leak, "ITEMS_AT_ONCE", 1)
     assert {(r.doc_id, r.item_id) for r in leak.leaked_items(docs(spark, texts), "doc_id", "text", items, "item_id", "text").collect()} == got
     assert leak.leaked_items(docs(spark, []), "doc_id", "text", items, "item_id", "text").count() == 0 and leak.leaked_items(docs(spark, texts), "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("slack", [0, 1, 2])
+def test_proximity_against_every_place(spark, slack, monkeypatch):
+    """Near-misses: words moved, left out and put in, and passages that run over two parts or two messages."""
+    monkeypatch.setattr(leak, "BLOCK_DOCS", 4)
+    rng = random.Random(slack)
+    length = 5
+    items = [[rng.choice("abcdefgh") * 2 for _ in range(rng.randint(4, 9))] for _ in range(12)]
+    bodies = []
+    for _ in range(60):
+        own = list(rng.choice(items))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(own))
+            rng.choice([lambda: own.insert(k, "zz"), lambda: own.pop(k), lambda: own.insert(rng.randrange(len(own)), own.pop(k))])()
+        cut = rng.randint(0, len(own))
+        bodies.append([own] if rng.random() < 0.6 else [own[:cut], own[cut:]])
+    bodies += [[items[0][:3]], [items[0][3:]]]  # one message goes on where the other ends
+    texts = [mail(*((PLAIN, " ".join(p)) for p in b)) for b in bodies]
+
+    def near(part, window):
+        at = {}
+        for k, w in enumerate(part):
+            at.setdefault(w, []).append(k)
+        return any(all(any(abs(x - b - k) <= slack for x in at.get(w, ())) for k, w in enumerate(window)) for b in range(-slack, len(part) + slack))
+
+    want = {(d, i) for d, b in enumerate(bodies) for i, words in enumerate(items) if any(near(p, words[f : f + length]) for p in b for f in range(len(words) - length + 1))}
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id BIGINT, text STRING")
+    got = leak.leaked_items(docs(spark, texts), "doc_id", "text", tests, "item_id", "text", length, slack).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want) and (slack == 0 or len(want) > 5)
+
+
 FILLER = ["We moved the paint order.", "Was it late?", "Thanks for the rope!", "The ledger is heavy."]
 
 
