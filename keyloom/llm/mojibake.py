@@ -1,14 +1,20 @@
 """Text whose bytes were read in a wrong encoding: found and restored by minimum description length.
 
 For every distinct text the chains of wrong readings that could have made it are undone, also where only a part was
-damaged or where the letters' case or the blanks were changed afterwards. Every candidate is compressed with zstandard
-dictionaries made of the reference words, one for each group of languages that share a script; the chain with the least
-total of compressed bytes and chain cost is chosen, and the text is left unchanged where that is cheapest. Where
-characters were lost to a replacement sign, the rest is held against the reference words' own remains.
+damaged or where the letters' case or the blanks were changed afterwards. What one reading can go back to is a lattice of
+characters over the places of the text, never a list of all combinations: out of it come all paths that are reference
+words, by a walk that follows their beginnings, and the paths that read best by character pairs. Every candidate is
+compressed with zstandard dictionaries made of the reference words, one for each language (told by a column of the
+reference, else by the script the words are written in); the chain with the least total of compressed bytes and chain
+cost is chosen, and the text is left unchanged where that is cheapest. Texts with characters lost to a replacement sign
+are described by the words whose remains they can be.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -45,10 +51,11 @@ STEP_COST, CHANGE_COST = 1.0, 0.5
 LEVEL = 12
 #: Words of the dictionary that a message begins with.
 BEFORE = 3
-DEPTH = 3
-#: Most bytes of reference words in one dictionary (a bounded sample where a script has more).
+#: Most bytes of reference words in one dictionary (a bounded sample where a language has more), and in one piece of the
+#: reference that candidates are walked along (with more, all pieces follow each other).
 DICTIONARY_BYTES = 4_000_000
-KEPT = 16
+#: Paths of a lattice up to which all are taken; of a larger one, the best by character pairs besides all reference words.
+PATHS = 24
 #: Bytes by which a compressor's length of so short a text is uncertain.
 SLACK = 4
 
@@ -72,14 +79,26 @@ def _chars_of(codec: str) -> dict[int, str]:
     return {b: c for c, b in sorted(_bytes_of(codec).items(), key=lambda x: x[0].isprintable())}
 
 
+#: Sign that stands for a byte or a character that could not be read.
+GONE = "\ufffd"
+
+
+@lru_cache(maxsize=None)
+def _undefined(codec: str) -> tuple[int, ...]:
+    return tuple(b for b in range(256) if bytes([b]).decode(codec, "replace") == GONE)
+
+
 #: What a character may have been before quotes, dashes and blanks were made plain.
 _PLAINED = {" ": "\xa0", "'": "‘’", '"': "“”", "-": "–—\xad"}
 
 
 @lru_cache(maxsize=None)
 def _options(codec: str, char: str) -> tuple[int, ...]:
-    """Bytes that a character may go back to, the character's own first."""
+    """Bytes that a character may go back to, the character's own first; a replacement sign to any that the encoding
+    leaves undefined."""
     known = _bytes_of(codec)
+    if char == GONE:
+        return _undefined(codec)
     forms = [char, *([char.upper()] if char.upper() != char else []), *_PLAINED.get(char, "")]
     return tuple(dict.fromkeys(known[f] for f in forms if f in known))
 
@@ -118,22 +137,72 @@ def _sequences(codec: str, text: str, at: int) -> list[tuple[str, int, bool]]:
     return out
 
 
-def undo_utf8(codec: str, text: str, letters: frozenset[str]) -> list[tuple[str, bool]]:
-    """(text, changed) of UTF-8 read in ``codec``, undone wherever it can be; only ``letters`` come out."""
-    heads: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-    done = []
-    while heads:
-        out, at, changed, any_step = heads.pop()
-        if at == len(text):
-            if any_step:
-                done.append((out, changed))
-            continue
-        found = [f for f in _sequences(codec, text, at) if f[0] in letters]
-        for char, end, other in found:
-            heads.append((out + char, end, changed or other, True))
-        if text[at] in letters and all(f[2] for f in found):  # only a part of the text may be damaged
-            heads.append((out + text[at], at + 1, changed or not text[at].isascii(), any_step))
-    return done
+#: Marks of a path: something besides the reading was changed, a capital was put back.
+CHANGED, CAPITAL = 1, 2
+
+
+class Lattice:
+    """Edges (character, next node, marks) by node; every edge leads to a later node, and texts end at the last ones."""
+
+    def __init__(self, edges: list[list[tuple[str, int, int]]], ends: frozenset[int]):
+        ways = [0] * len(edges)
+        for k in range(len(edges) - 1, -1, -1):  # paths that reach an end; what reaches none leaves
+            edges[k] = [e for e in edges[k] if ways[e[1]]]
+            ways[k] = (k in ends) + sum(ways[e[1]] for e in edges[k])
+        self.edges, self.ends, self.count = edges, ends, ways[0]
+
+    def lower_start(self, letters: frozenset[str]) -> None:
+        """Lets a text begin with the capital of its first letter."""
+        more = [(up, end, marks | CAPITAL) for c, end, marks in self.edges[0] if c.islower() and len(up := c.upper()) == 1 and up in letters]
+        self.edges[0] = self.edges[0] + more
+
+    def all(self) -> Iterator[tuple[str, int]]:
+        stack = [("", 0, 0)]
+        while stack:
+            out, at, marks = stack.pop()
+            if at in self.ends:
+                yield out, marks
+            stack.extend((out + c, end, marks | m) for c, end, m in self.edges[at])
+
+    def along(self, words: list[str]) -> Iterator[tuple[str, int]]:
+        """All paths that are one of the sorted words: beginnings that no word has are left at once."""
+        live: dict[int, dict[tuple[str, int], None]] = {0: {("", 0): None}}
+        for at in range(len(self.edges)):
+            held = live.pop(at, {})
+            for out, marks in held:
+                if at in self.ends and (k := bisect_left(words, out)) < len(words) and words[k] == out:
+                    yield out, marks
+                for c, end, m in self.edges[at]:
+                    longer = out + c
+                    if (k := bisect_left(words, longer)) < len(words) and words[k].startswith(longer):
+                        live.setdefault(end, {})[longer, marks | m] = None
+
+    def best(self, pairs: dict[str, float], most: int) -> Iterator[tuple[str, int]]:
+        """The ``most`` best paths by the scores of character pairs (a Viterbi search that keeps as many a node and sign)."""
+        live: dict[int, dict[str, list[tuple[float, str, int]]]] = {0: {"\n": [(0.0, "", 0)]}}
+        done: list[tuple[float, str, int]] = []
+        for at in range(len(self.edges)):
+            for last, held in live.pop(at, {}).items():
+                held = sorted(held, reverse=True)[:most]
+                if at in self.ends:
+                    done.extend((x + pairs.get(last + "\n", -12.0), out, marks) for x, out, marks in held)
+                for c, end, m in self.edges[at]:
+                    gain = pairs.get(last + c, -12.0)
+                    live.setdefault(end, {}).setdefault(c, []).extend((x + gain, out + c, marks | m) for x, out, marks in held)
+        for _, out, marks in sorted(done, reverse=True)[:most]:
+            yield out, marks
+
+
+def undo_utf8(codec: str, text: str, letters: frozenset[str]) -> Lattice:
+    """UTF-8 read in ``codec``, undone wherever it can be; only ``letters`` come out."""
+    edges: list[list[tuple[str, int, int]]] = []
+    for at, c in enumerate(text):
+        found = [f for f in _sequences(codec, text, at) if f[0] in letters] if _leads(codec, c) else []
+        own = [(char, end, CHANGED * other) for char, end, other in found]
+        if c in letters and all(f[2] for f in found):  # only a part of the text may be damaged
+            own.append((c, at + 1, CHANGED * (not c.isascii())))
+        edges.append(own)
+    return Lattice([*edges, []], frozenset([len(text)]))
 
 
 def undo_once(codec: str, text: str) -> tuple[str, bool] | None:
@@ -169,59 +238,51 @@ def _tables(letters: frozenset[str]) -> tuple[dict[str, int], list[dict[str, tup
     return bits, readings
 
 
-def undo_one_byte(text: str, letters: frozenset[str]) -> list[tuple[str, bool]]:
-    """(text, changed) of one-byte encodings mixed up, in whole or in one run, within ``letters``."""
+def undo_one_byte(text: str, letters: frozenset[str]) -> Iterator[Lattice]:
+    """One-byte encodings mixed up, in whole or in one run, within ``letters``: for each pair that fits, places before,
+    in and behind the run. Where no sign is foreign, more than three signs are taken as a whole."""
     bits, readings = _tables(letters)
     places = [k for k, c in enumerate(text) if not c.isascii()]
     if not places or any(text[k] not in letters and text[k] not in bits for k in places):
-        return []
+        return
     odd = [k for k in places if text[k] not in letters]
     common = -1
-    for k in odd or places[:0]:
+    for k in odd:
         common &= bits[text[k]]
-    done = []
     for n, own in enumerate(readings):
         if not common >> n & 1:
             continue
-        fit = [k for k in places if text[k] in own]
+        fit = sum(text[k] in own for k in places)
         if not fit:
             continue
-        spans = {(odd[0], odd[-1]) if odd else (fit[0], fit[-1]), (fit[0], fit[-1])}
-        if odd or len(fit) <= 3:
-            spans |= {(a, b) for a in fit for b in fit if a <= b and (not odd or a <= odd[0] and b >= odd[-1])}
-        for first, last in spans:
-            inside = [k for k in places if first <= k <= last]
-            if any(text[k] not in own and text[k] not in letters for k in inside):
+        in_part = bool(odd) or fit <= 3
+        edges: list[list[tuple[str, int, int]]] = []
+        for at, c in enumerate(text):
+            below, inside, behind = 3 * at + 3, 3 * at + 4, 3 * at + 5
+            if c.isascii():
+                edges += [[(c, below, 0)], [(c, inside, 0)], [(c, behind, 0)]]
                 continue
-            ways = [own[text[k]] if text[k] in own else (text[k],) for k in inside]
-            whole = len(inside) == len(places)
-            for way in product(*ways):
-                out = list(text)
-                for k, c in zip(inside, way):
-                    out[k] = c
-                exact = all(c == w[0] for c, w in zip(way, ways))
-                done.append(("".join(out), not (whole and exact)))
-    return done
-
-
-def undo_two_bytes(text: str, letters: frozenset[str]) -> list[tuple[str, bool]]:
-    """(text, changed) of two-byte encodings read as one-byte ones, within ``letters``."""
-    done = []
+            ways = [(w, inside, CHANGED * (k > 0)) for k, w in enumerate(own.get(c, ()))]
+            kept = c in letters
+            before = [(c, below, CHANGED)] if kept and (in_part or not ways) else []
+            edges.append(before + ways)
+            edges.append(ways + ([(c, behind, CHANGED)] if kept and in_part else []) + ([(c, inside, 0)] if kept and not ways else []))
+            edges.append([(c, behind, CHANGED)] if kept else [])
+        end = 3 * len(text)
+        yield Lattice([*edges, [], [], []], frozenset([end + 1, end + 2]))
+
+
+def undo_two_bytes(text: str, letters: frozenset[str]) -> Iterator[Lattice]:
+    """Two-byte encodings read as one-byte ones, within ``letters``."""
     for read, true in TWO_BYTES:
-        heads = [("", 0, False)]
         options = [_options(read, c) for c in text]
         if not all(options):
             continue
-        while heads:
-            out, at, changed = heads.pop()
-            if at == len(text):
-                done.append((out, changed))
-                continue
-            for a, b in product(options[at], options[at + 1] if at + 1 < len(text) else ()):
-                char = _two(true, a, b)
-                if char in letters:
-                    heads.append((out + char, at + 2, changed or a != options[at][0] or b != options[at + 1][0]))
-    return done
+        edges: list[list[tuple[str, int, int]]] = []
+        for at, own in enumerate(options):
+            following = options[at + 1] if at + 1 < len(text) else ()
+            edges.append([(char, at + 2, CHANGED * (a != own[0] or b != following[0])) for a, b in product(own, following) if (char := _two(true, a, b)) in letters and char])
+        yield Lattice([*edges, []], frozenset([len(text)]))
 
 
 @lru_cache(maxsize=200_000)
@@ -238,7 +299,7 @@ def _patterns(codec: str, letters: frozenset[str]) -> tuple:
     again. The first is a lead with a follower, or one whose follower may have left; the second, letters besides."""
     import regex
 
-    chars = {*_bytes_of(codec), *(c.lower() for c in _bytes_of(codec) if len(c.lower()) == 1)}
+    chars = {*_bytes_of(codec), *(c.lower() for c in _bytes_of(codec) if len(c.lower()) == 1), GONE}
     leads = {c for c in chars if _leads(codec, c) and not c.isascii()}
     follows = {c for c in chars if _follows(codec, c)} | set(_PLAINED)
     alone = {c for c in leads for b, _ in _leads(codec, c) if b < 0xE0 and any(bytes([b, x]).decode() in letters for x in (0xA0, 0xAD))}
@@ -252,105 +313,140 @@ def _undoable(letters: frozenset[str]) -> frozenset[str]:
     """Letters and all that any of the encodings can have read; a text with anything else has no original."""
     codecs = {*READ_UTF8_AS, *(r for r, _ in MIXED_UP), *(r for r, _ in TWO_BYTES)}
     chars = {c for k in codecs for c in _bytes_of(k)}
-    return letters | chars | {c.lower() for c in chars if len(c.lower()) == 1}
+    return letters | chars | {c.lower() for c in chars if len(c.lower()) == 1} | {GONE}
 
 
-def candidates(text: str, letters: frozenset[str]) -> dict[str, float]:
-    """Texts that a chain of wrong readings may have started from, with the least cost of a chain."""
+def candidates(text: str, letters: frozenset[str], words: list[str], pairs: dict[str, float]) -> dict[str, float]:
+    """Texts that a chain of wrong readings may have started from, with the least cost of a chain.
+
+    Chains may be of any length: a step within one makes the text shorter. Each step's lattice gives all of its paths
+    where these are few, else all that are one of the sorted ``words`` and the best by ``pairs``.
+    """
     found: dict[str, float] = {}
+    lower = text == text.lower()
+
+    def take(lattice: Lattice, cost: float) -> None:
+        if not lattice.count:
+            return
+        if lower:  # a capital may have gone with a change of case
+            lattice.lower_start(letters)
+        few = lattice.count <= PATHS and not lower or lattice.count * 2 <= PATHS
+        for part in (lattice.all(),) if few else (lattice.along(words), lattice.best(pairs, PATHS)):
+            for out, marks in part:
+                if marks != CAPITAL:
+                    c = cost + STEP_COST + CHANGE_COST * marks.bit_count()
+                    found[out] = min(found.get(out, c), c)
+
     frontier = {text: 0.0}
-    for _ in range(DEPTH):
+    seen = {text}
+    while frontier:
         inner: dict[str, float] = {}
         for t, cost in frontier.items():
             for codec in READ_UTF8_AS:
                 if not _patterns(codec, letters)[0](t):
                     continue
-                for out, changed in undo_utf8(codec, t, letters):
-                    c = cost + STEP_COST + CHANGE_COST * changed
-                    found[out] = min(found.get(out, c), c)
+                take(undo_utf8(codec, t, letters), cost)
                 if (once := undo_once(codec, t)) and any(_patterns(k, letters)[1](once[0]) and _patterns(k, letters)[0](once[0]) for k in READ_UTF8_AS):
                     c = cost + STEP_COST + CHANGE_COST * once[1]
                     inner[once[0]] = min(inner.get(once[0], c), c)
-            for out, changed in (*undo_one_byte(t, letters), *undo_two_bytes(t, letters)):
-                c = cost + STEP_COST + CHANGE_COST * changed
-                found[out] = min(found.get(out, c), c)
-        frontier = {t: c for t, c in inner.items() if t != text}
-    if text == text.lower():  # a capital may have gone with a change of case
-        for out, c in list(found.items()):
-            if out[:1].islower() and len(up := out[:1].upper()) == 1 and c % STEP_COST:
-                found.setdefault(up + out[1:], c + CHANGE_COST)
+            for lattice in (*undo_one_byte(t, letters), *undo_two_bytes(t, letters)):
+                take(lattice, cost)
+        frontier = {t: c for t, c in inner.items() if t not in seen}
+        seen.update(frontier)
     found.pop(text, None)
     return found
 
 
+def pair_scores(words: list[str]) -> dict[str, float]:
+    """Logarithms of how often a character follows another in the words, line ends around them."""
+    pairs: Counter[str] = Counter()
+    for w in words:
+        line = f"\n{w}\n"
+        pairs.update(line[k : k + 2] for k in range(len(line) - 1))
+    firsts: Counter[str] = Counter()
+    for p, n in pairs.items():
+        firsts[p[0]] += n
+    return {p: math.log(n / firsts[p[0]]) for p, n in pairs.items()}
+
+
 class Describer:
-    """Length of a text's description: what it adds to a message compressed with the dictionary of its script.
+    """Length of a text's description: what it adds to a message compressed with the dictionary of a language.
 
-    The message begins with words of the dictionary, and all is written in two bytes a character, so that short words
-    too are long enough to be matched.
+    ``words`` has the words of each language. Only languages written in the text's script are tried, and the shortest
+    description holds. The message begins with words of the dictionary, and all is written in two bytes a character, so
+    that short words too are long enough to be matched.
     """
 
     def __init__(self, words: dict[str, list[str]]):
         self.words = {s: sorted(w) for s, w in words.items()}
+        scripts: dict[str, list[str]] = defaultdict(list)
+        for language, own in self.words.items():
+            for script in sorted({s for w in own if (s := _script(w))}):
+                scripts[script].append(language)
+        self.languages = dict(scripts)
         self._ready: dict[str, tuple] = {}
 
-    def _compressor(self, script: str) -> tuple:
-        if script not in self._ready:
+    def _compressor(self, language: str) -> tuple:
+        if language not in self._ready:
             import zstandard
 
-            words = self.words[script]
+            words = self.words[language]
             data = f"\n{'\n'.join(words)}\n".encode("utf-16-le")
             held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(level=LEVEL)
             compress = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress
             before = f"\n{'\n'.join(words[:: max(1, len(words) // BEFORE)][:BEFORE])}\n".encode("utf-16-le")
-            self._ready[script] = compress, before, len(compress(before))
-        return self._ready[script]
+            self._ready[language] = compress, before, len(compress(before))
+        return self._ready[language]
 
     def __getstate__(self) -> dict:
-        return {"words": self.words, "_ready": {}}
+        return self.__dict__ | {"_ready": {}}
 
     def length(self, text: str) -> int:
         data = f"{text}\n".encode("utf-16-le", "surrogatepass")
         scripts = {s for c in text if (s := script_of(c))}
-        if len(scripts) != 1 or not (own := scripts & self.words.keys()):  # no language is written so: nothing to go by
+        if len(scripts) != 1:  # no language is written so: nothing to go by
             return len(data)
-        compress, before, known = self._compressor(own.pop())
-        return min(len(data), len(compress(before + data)) - known)
+        least = len(data)
+        for language in self.languages.get(scripts.pop(), ()):
+            compress, before, known = self._compressor(language)
+            least = min(least, len(compress(before + data)) - known)
+        return least
 
 
-def restore(text: str, describer: Describer, letters: frozenset[str]) -> list[str]:
-    """Originals of a damaged text, the shortest description first, at most ``KEPT``.
+def restore(text: str, describer: Describer, letters: frozenset[str], words: list[str], pairs: dict[str, float]) -> list[tuple[float, str]]:
+    """Originals of a damaged text with the length of their descriptions, the shortest first.
 
     The text is left unchanged (nothing comes out) where its own description is shorter by more than ``SLACK`` bytes;
     within that the compressor's own grain decides, and the reference is asked.
     """
     if text.isascii() or not _undoable(letters).issuperset(text):
         return []
-    found = candidates(text, letters)
+    found = candidates(text, letters, words, pairs)
     if not found:
         return []
     own = describer.length(text)
     ranked = sorted((cost + describer.length(t), t) for t, cost in found.items())
-    return [t for total, t in ranked if total <= own + SLACK][:KEPT]
+    return [(total, t) for total, t in ranked if total <= own + SLACK]
 
 
 def _script(word: str) -> str:
     return next((s for c in word if (s := script_of(c))), "")
 
 
-def train(reference: DataFrame, word: str) -> tuple[Describer, frozenset[str]]:
-    """Dictionaries of the reference words by script, and the letters the words are written in.
+def train(reference: DataFrame, word: str, language: str | None = None) -> tuple[Describer, frozenset[str]]:
+    """Dictionaries of the reference words by language, and the letters the words are written in.
 
-    A dictionary takes at most ``DICTIONARY_BYTES`` (a sample by hash where a script has more words); the letters are
-    those of all words.
+    Without a column of languages a script stands for its languages. A dictionary takes at most ``DICTIONARY_BYTES`` (a
+    sample by hash where a language has more words); the letters are those of all words.
     """
-    words = reference.select(reference[word].alias("w")).filter("w IS NOT NULL AND w <> ''").distinct()
+    told = reference[language].cast("string") if language else F.lit(None).cast("string")
+    words = reference.select(reference[word].alias("w"), told.alias("l")).filter("w IS NOT NULL AND w <> ''").distinct()
     letters = frozenset(r.c for r in words.select(F.explode(F.split("w", "")).alias("c")).distinct().collect() if r.c)  # at most one row a code point
     grouped: dict[str, list[str]] = {}
     size: dict[str, int] = {}
     for r in words.orderBy(F.xxhash64("w")).limit(DICTIONARY_BYTES // 8).collect():
-        s = _script(r.w)
+        s = r.l or _script(r.w)
         size[s] = size.get(s, 0) + len(r.w.encode()) + 1
         if size[s] <= DICTIONARY_BYTES:
             grouped.setdefault(s, []).append(r.w)
@@ -359,7 +455,7 @@ def train(reference: DataFrame, word: str) -> tuple[Describer, frozenset[str]]:
 
 def _remains(text: Column, pattern: str) -> Column:
     """A text with each run of lost (or, in reference words, losable) characters as one sign."""
-    return F.regexp_replace(text, pattern, "�")
+    return F.regexp_replace(text, pattern, GONE)
 
 
 def _fits(lost: str, whole: str) -> bool:
@@ -384,31 +480,50 @@ def _fits(lost: str, whole: str) -> bool:
     return True
 
 
-def damaged_words(df: DataFrame, text: str, reference: DataFrame, word: str) -> DataFrame:
+def damaged_words(df: DataFrame, text: str, reference: DataFrame, word: str, language: str | None = None) -> DataFrame:
     """Rows of ``df`` whose text is a reference word damaged by wrong decoding, with that word as ``kl_form``.
 
     ``kl_form`` is an empty string where characters were lost to a replacement sign. Nulls, empty texts and texts stored
     as a reference word never come out. Of several restorations that are reference words the one with the shortest
-    description holds, ties by code points.
+    description holds, ties by code points. ``language``: a column of the reference with the words' languages. Reference
+    words are followed in pieces of ``DICTIONARY_BYTES``, so that no task holds more of them; every piece meets all texts.
     """
     known = reference_words(reference, word)
     rows = unlisted(df, text, known)
-    describer, letters = train(reference, word)
-    model = df.sparkSession.sparkContext.broadcast((describer, letters))
+    describer, letters = train(reference, word, language)
+    spark = df.sparkSession
+    model = spark.sparkContext.broadcast((describer, letters))
+    words = reference.select(reference[word].alias("w")).filter("w IS NOT NULL AND w <> ''").distinct()
+    pieces = max(1, -(-(words.agg(F.sum(F.octet_length("w"))).first()[0] or 0) // DICTIONARY_BYTES))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, own = model.value
-        for b in batches:
-            yield pd.DataFrame({"kl_text": b["kl_text"], "kl_forms": [restore(t, held, own) for t in b["kl_text"]]})
+    def run(piece):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, own = model.value
+            listed = piece.value
+            pairs = pair_scores(listed)
+            for b in batches:
+                found = [(t, total, form) for t in b["kl_text"] for total, form in restore(t, held, own, listed, pairs)]
+                yield pd.DataFrame(found, columns=["kl_text", "kl_total", "kl_form"])
+
+        return of
 
     texts = rows.select(rows[text].alias("kl_text"))
     damaged = spread(texts.filter(r"kl_text RLIKE '[^\\x00-\\x7f]'"))
-    restored = damaged.mapInPandas(run, "kl_text STRING, kl_forms ARRAY<STRING>").select("kl_text", F.posexplode("kl_forms").alias("kl_rank", "kl_form"))
-    hit = settled(restored.join(known, "kl_form").groupBy("kl_text").agg(F.min_by("kl_form", "kl_rank").alias("kl_form")))
-
-    lossy = texts.filter(F.col("kl_text").rlike("[?�]")).distinct().withColumn("kl_left", _remains(F.col("kl_text"), r"(?:[^\x00-\x7f]|\?)+"))
-    whole = reference.select(reference[word].alias("kl_whole")).filter("kl_whole IS NOT NULL").distinct().withColumn("kl_left", _remains(F.col("kl_whole"), r"[^\x00-\x7f]+"))
-    fits = F.udf(_fits, "boolean", useArrow=True)
+    damaged = damaged if pieces == 1 else settled(damaged)
+    restored = None
+    for k in range(pieces):  # one for the bound, more only beyond it
+        listed = sorted(r.w for r in words.filter(F.pmod(F.xxhash64("w"), F.lit(pieces)) == k).collect())
+        part = damaged.mapInPandas(run(spark.sparkContext.broadcast(listed)), "kl_text STRING, kl_total DOUBLE, kl_form STRING")
+        restored = part if restored is None else restored.unionByName(part)
+    hit = settled(restored.join(known, "kl_form").groupBy("kl_text").agg(F.min_by("kl_form", F.struct("kl_total", "kl_form")).alias("kl_form")))
+    hit = hit.withColumn("kl_form", F.when(F.contains("kl_text", F.lit(GONE)), "").otherwise(F.col("kl_form")))
+
+    def described(lost: str, whole: str) -> bool:
+        return _fits(lost, whole) and STEP_COST + model.value[0].length(whole) <= model.value[0].length(lost) + SLACK
+
+    lossy = texts.filter(F.col("kl_text").rlike(f"[{LOST}]")).distinct().withColumn("kl_left", _remains(F.col("kl_text"), r"(?:[^\x00-\x7f]|\?)+"))
+    whole = words.select(F.col("w").alias("kl_whole")).withColumn("kl_left", _remains(F.col("kl_whole"), r"[^\x00-\x7f]+"))
+    fits = F.udf(described, "boolean", useArrow=True)
     lost = lossy.join(whole, "kl_left").filter(fits("kl_text", "kl_whole")).select("kl_text", F.lit("").alias("kl_form")).distinct()
     lost = lost.join(hit, "kl_text", "left_anti")
     found = hit.unionByName(lost)

@@ -60,7 +60,7 @@ MOJIBAKE = {
     broken("chesdré", ("utf-8", "cp1252")).lower(): "chesdré", broken("дяло", ("utf-8", "cp1251")).lower(): "дяло", "д" + broken("яло", ("utf-8", "cp1251")): "дяло", broken("σήχασο", ("utf-8", "latin-1")): "σήχασο",
     broken("glűtdề", ("utf-8", "latin-1")): "glűtdề", broken("rofià", ("utf-8", "latin-1")) + "nd": "rofiànd", broken("rofià", ("utf-8", "latin-1")).replace("\xa0", " ") + "nd": "rofiànd",
 }
-LOST = ["chesdr?", "chesdr�", "chesdr��", "?ahi", "th?nthar", "rofi�nd", "����", "????????"]
+LOST = [broken("дяло", ("utf-8", "latin-1")).encode("latin-1").decode("cp1252", "replace"), broken("сорех", ("utf-8", "latin-1")).encode("latin-1").decode("cp1252", "replace"), "chesdr?", "chesdr�", "chesdr��", "?ahi", "th?nthar", "rofi�nd", "����", "????????"]
 FINE = ["chesdré", None, "", "vaca?", "zzz?", "vacä", "Ã", "мышь", "x" * 3000 + "é", "?", "a" * 40]
 
 
@@ -74,11 +74,56 @@ def test_damage_edges(spark):
     assert mojibake.damaged_words(rows(spark, list(MOJIBAKE)), "word", lexicon(spark).limit(0), "word").count() == 0
 
 
+def test_reference_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(mojibake, "DICTIONARY_BYTES", 100)
+    few = [x for x in MOJIBAKE if MOJIBAKE[x] in ("дяло", "rofiànd", "ビエロイ")]
+    found = {r.word: r.kl_form for r in mojibake.damaged_words(rows(spark, few), "word", lexicon(spark), "word").collect()}
+    assert found == {k: MOJIBAKE[k] for k in few}
+
+
+def test_languages_of_a_column(spark):
+    listed = spark.createDataFrame([(w, "xyz"[k % 3]) for k, w in enumerate(WORDS)], "word STRING, own STRING")
+    describer, _ = mojibake.train(listed, "word", "own")
+    assert set(describer.words) == {"x", "y", "z"} and describer.length("chesdré") < 16
+    found = {r.word: r.kl_form for r in mojibake.damaged_words(rows(spark, list(MOJIBAKE)), "word", listed, "word", "own").collect()}
+    assert found == MOJIBAKE
+
+
+def test_candidates_stay_few(spark):
+    """Every accented letter has several readings; their combinations are never listed."""
+    import time
+
+    words = sorted(WORDS)
+    letters = frozenset("".join(WORDS) + "".join(map(chr, range(0x410, 0x450))) + "éèàùçÉÈÀÙÇ")
+    pairs = mojibake.pair_scores(words)
+    for text in ("дЯло" * 50, "é" * 200, "Ã©" * 100, broken("дяло" * 50, ("cp1251", "cp1252")), "дяло" * 10, "�" * 200):
+        began = time.time()
+        assert len(mojibake.candidates(text, letters, words, pairs)) < 5000 and time.time() - began < 20
+    assert "дяло" in mojibake.candidates(broken("дяло", ("cp1251", "cp1252")), letters, words, pairs)
+
+
+def test_lattice_walk_finds_every_word():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 6)
+        edges = [[(rng.choice("abc"), min(n, k + rng.randint(1, 2)), rng.choice([0, 1])) for _ in range(rng.randint(0, 3))] for k in range(n)] + [[]]
+        lattice = mojibake.Lattice(edges, frozenset([n]))
+        every = set(lattice.all())
+        words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+        assert set(lattice.along(words)) == {x for x in every if x[0] in words}
+        pairs = {a + b: rng.random() for a in "abc\n" for b in "abc\n"}
+        score = lambda t: sum(pairs[x] for x in map("".join, zip("\n" + t, t + "\n")))
+        ranked = sorted((round(score(t), 9) for t, _ in every), reverse=True)
+        assert [round(score(t), 9) for t, _ in lattice.best(pairs, 3)][: len(ranked)][:1] == ranked[:1]
+
+
 @pytest.mark.parametrize("seed", [1])
 def test_random_chains_come_back(seed):
     rng = random.Random(seed)
     letters = frozenset("".join(WORDS))
     describer = mojibake.Describer({s: [w for w in WORDS if mojibake._script(w) == s] for s in {mojibake._script(w) for w in WORDS}})
+    words = sorted(WORDS)
+    pairs = mojibake.pair_scores(words)
     tried = right = 0
     for _ in range(200):
         w = rng.choice([x for x in WORDS if not x.isascii()])
@@ -88,5 +133,5 @@ def test_random_chains_come_back(seed):
         except UnicodeDecodeError:
             continue
         tried += 1
-        right += w in mojibake.restore(bad, describer, letters)
+        right += w in [t for _, t in mojibake.restore(bad, describer, letters, words, pairs)]
     assert tried > 50 and right >= 0.98 * tried
