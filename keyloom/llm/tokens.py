@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.packing import narrow, pack, unpack
+
 #: Place of the public vocabulary's ranks (one token a line: base64 bytes, id).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts texts before the merges, part of the vocabulary's definition.
@@ -50,28 +52,6 @@ def _encoder(raw: bytes):
     return tiktoken.Encoding("keyloom", pat_str=PATTERN, mergeable_ranks=_ranks(raw), special_tokens={})._core_bpe.encode_single_piece
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value: their types and lengths, then their bytes."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zlib.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
-
-
-def _unpack(data: bytes) -> list[np.ndarray]:
-    raw = zlib.decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    out, at = [], 4 + n
-    for part in raw[4:at].decode().split(";"):
-        kind, size = part.split(",")
-        out.append(np.frombuffer(raw, np.dtype(kind), int(size), at))
-        at += out[-1].nbytes
-    return out
-
-
-def _narrow(a: np.ndarray) -> np.ndarray:
-    most = int(a.max()) if len(a) else 0
-    return a.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32)
-
-
 class _Numbers(dict):
     """Numbers words in the order they are first asked for."""
 
@@ -92,11 +72,11 @@ def _cut(buckets: int):
         place = rank[np.frombuffer(places, np.uint32)] if len(places) else np.zeros(0, np.uint32)
         known = np.array([x is not None for x in docs])
         ids = np.array([x if x is not None else 0 for x in docs], np.int64)
-        out = [(block, POSITIONS, len(words), _pack(ids, known, np.array(counts, np.uint32), _narrow(place)))]
+        out = [(block, POSITIONS, len(words), pack(ids, known, np.array(counts, np.uint32), narrow(place)))]
         firsts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in np.flatnonzero(np.diff(firsts)):
             own = [words[k] for k in order[firsts[b] : firsts[b + 1]]]
-            out.append((block, int(b), int(firsts[b]), _pack(_narrow(np.fromiter(map(len, own), np.uint32, len(own))), np.frombuffer(b"".join(own), np.uint8))))
+            out.append((block, int(b), int(firsts[b]), pack(narrow(np.fromiter(map(len, own), np.uint32, len(own))), np.frombuffer(b"".join(own), np.uint8))))
         blocks, buckets_, firsts_, data = zip(*out)
         keys = [block % buckets if b == POSITIONS else b for b in buckets_]
         return pa.RecordBatch.from_arrays(
@@ -142,7 +122,7 @@ def _encode(vocabulary):
                     continue
                 if bucket != at:  # rows lie by bucket: only one bucket's words are held
                     known, at = {}, bucket
-                sizes, flat = _unpack(raw)
+                sizes, flat = unpack(raw)
                 text, ends = flat.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
                 ids, lengths, start = array("I"), array("I"), 0
                 for end in ends:
@@ -152,7 +132,7 @@ def _encode(vocabulary):
                         known[word] = got = encode(word)
                     ids.extend(got)
                     lengths.append(len(got))
-                data.append(_pack(_narrow(np.frombuffer(lengths, np.uint32)), _narrow(np.frombuffer(ids, np.uint32))))
+                data.append(pack(narrow(np.frombuffer(lengths, np.uint32)), narrow(np.frombuffer(ids, np.uint32))))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(data, pa.binary())], b.schema.names)
 
     return run
@@ -188,9 +168,9 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield done(docs, parts)
                 at, docs, parts = block, None, []
             if bucket == POSITIONS:
-                docs = tuple(_unpack(data))
+                docs = tuple(unpack(data))
             else:
-                parts.append(_unpack(data))
+                parts.append(unpack(data))
     if at is not None:
         yield done(docs, parts)
 
