@@ -3,7 +3,8 @@
 Every distinct word is brought to its compatibility form without ignorable characters, opened into a lattice of the
 characters each visible sign may stand for, and read off by a Viterbi search under the character n-gram scores of one
 script: a path stays within a script, and the n-grams are those of the reference words of that script. The best paths
-are then held against the reference words by an equi-join.
+are then held against the reference words by an equi-join; of a lattice with more paths than are kept, all that are
+reference words come along.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.reference import reference_words, spread, unlisted
-from keyloom.session import small_rows
+from keyloom.llm.lattice import Lattice
+from keyloom.llm.reference import reference_words, spread, unlisted, word_pieces
+from keyloom.session import settled
 
 # Signs that look alike in common typefaces, one class a line. Accents are left out: they are separate
 # marks after decomposition, so that a class of base letters covers its accented forms as well.
@@ -111,9 +113,12 @@ Z Ζ Ꮓ ꓜ
 """
 
 _BLANKS = {c: " " for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
+#: Best paths that a search keeps.
 PATHS = 8
-#: Largest n-gram table that is sent to every executor; it is bounded by the alphabets of the reference words.
+#: Most frequent n-grams that the scores are made of; letters are known from all words, whatever this bound.
 MODEL_ROWS = 500_000
+#: Most bytes of reference words that a task holds; with more, the pieces follow each other.
+REFERENCE_BYTES = 4_000_000
 
 
 @lru_cache(maxsize=1)
@@ -183,15 +188,16 @@ def _readings(cluster: str) -> dict[str, tuple[str, ...]]:
 
 
 class Model:
-    """Trigram scores of clusters, by script, with back-off to bigrams and single clusters."""
+    """Trigram scores of clusters, by script, with back-off to bigrams and single clusters (``letters``: counts of all)."""
 
-    def __init__(self, grams: dict[tuple[str, str, str], int]):
+    def __init__(self, grams: dict[tuple[str, str, str], int], letters: dict[str, int] | None = None):
         self.three = grams
         self.two: dict[tuple[str, str], int] = defaultdict(int)
-        self.one: dict[str, int] = defaultdict(int)
+        self.one: dict[str, int] = defaultdict(int, letters or {})
         for (a, b, c), n in grams.items():
             self.two[a, b] += n
-            self.one[c] += n
+            if not letters:
+                self.one[c] += n
         self.all = sum(self.one.values()) or 1
         self._options: dict[str, tuple[str, ...]] = {}
 
@@ -210,8 +216,10 @@ class Model:
         return math.log((n + 2 * low) / (self.two.get((a, b), 0) + 2))
 
 
-def readings(word: str, models: dict[str, Model], paths: int = PATHS) -> list[str]:
-    """The best ``paths`` spellings of a word, each within one script, best first; scripts that can't spell it have none."""
+def scored_readings(word: str, models: dict[str, Model], paths: int = PATHS, words: list[str] | None = None) -> list[tuple[float, str]]:
+    """(score, spelling) of the best ``paths`` spellings of a word, each within one script, best first; scripts that
+    can't spell it have none. Where there are more, those that are one of the sorted ``words`` come too, with their score.
+    """
     clusters = _clusters(plain(word))
     ways = {}
     for script, model in models.items():
@@ -224,7 +232,7 @@ def readings(word: str, models: dict[str, Model], paths: int = PATHS) -> list[st
             if options:
                 ways[script] = options
     if len(ways) == 1 and all(len(x) == 1 for own in ways.values() for x in own):
-        return ["".join(x[0] for own in ways.values() for x in own)]
+        return [(0.0, "".join(x[0] for own in ways.values() for x in own))]
     found: list[tuple[float, str]] = []
     for script, way in ways.items():
         model = models[script]
@@ -237,7 +245,23 @@ def readings(word: str, models: dict[str, Model], paths: int = PATHS) -> list[st
                     following[b, c].extend((x + s, t + c) for x, t in held)
             states = {k: heapq.nlargest(paths, v) for k, v in following.items()}
         found.extend((x + model.score(a, b, "$"), t) for (a, b), held in states.items() for x, t in held)
-    return [t for _, t in heapq.nlargest(paths, found)]
+    best = heapq.nlargest(paths, found)
+    if words and sum(math.prod(map(len, way)) for way in ways.values()) > paths:
+        known = {t for _, t in best}
+        for script, way in ways.items():
+            lattice = Lattice([*([(c, k + 1, 0) for c in own] for k, own in enumerate(way)), []], frozenset([len(way)]))
+            for t, _ in lattice.along(words):
+                if t not in known:
+                    known.add(t)
+                    signs = ["^", "^", *_clusters(t), "$"]
+                    best.append((sum(models[script].score(*signs[k : k + 3]) for k in range(len(signs) - 2)), t))
+        best.sort(reverse=True)
+    return best
+
+
+def readings(word: str, models: dict[str, Model], paths: int = PATHS) -> list[str]:
+    """The best ``paths`` spellings of a word, best first."""
+    return [t for _, t in scored_readings(word, models, paths)]
 
 
 def _grams(words: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -252,14 +276,22 @@ def _grams(words: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(reference: DataFrame, word: str) -> dict[str, Model]:
-    """n-gram models of all reference words, by script. The counts come from all rows and are bounded by the alphabets."""
+    """n-gram models of all reference words, by script.
+
+    The counts come from all rows; of the n-grams the ``MODEL_ROWS`` most frequent are kept (they only rank spellings),
+    the letters, at most one a character of Unicode with its marks, are kept all.
+    """
     words = reference.select(reference[word].alias("kl_word")).filter("kl_word IS NOT NULL AND kl_word <> ''").distinct()
     counts = words.mapInPandas(_grams, "script STRING, a STRING, b STRING, c STRING").groupBy("script", "a", "b", "c").count()
     grams: dict[str, dict[tuple[str, str, str], int]] = defaultdict(dict)
-    for r in small_rows(counts, MODEL_ROWS, "the n-gram table"):
+    for r in counts.orderBy(F.desc("count"), "script", "a", "b", "c").limit(MODEL_ROWS).collect():
         grams[r.script][r.a, r.b, r.c] = r["count"]
-    shared = grams.pop("", {})
-    return {s: Model({**shared, **g}) for s, g in grams.items()} or {"LATIN": Model(shared)}
+    letters: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in counts.groupBy("script", "c").agg(F.sum("count").alias("n")).collect():
+        letters[r.script][r.c] = r.n
+    shared, signs = grams.pop("", {}), letters.pop("", {})
+    both = lambda x: {c: signs.get(c, 0) + x.get(c, 0) for c in {*signs, *x}}
+    return {s: Model({**shared, **grams[s]}, both(own)) for s, own in letters.items()} or {"LATIN": Model(shared, dict(signs))}
 
 
 def consistent_forms(df: DataFrame, text: str, reference: DataFrame, word: str) -> DataFrame:
@@ -282,11 +314,31 @@ def disguised_words(df: DataFrame, text: str, reference: DataFrame, word: str) -
     """Rows of ``df`` whose text looks like a reference word but has other characters, with that word as ``kl_form``.
 
     Nulls and texts stored exactly as a reference word never come out; ties between spellings are settled by the
-    reference (no two of its words look the same), else by the better score. Rows leave by the reference before any
+    reference (no two of its words look the same), else by the better score, then by code points. No spelling that is a
+    reference word is missed, however many paths its lattice has. Rows leave by the reference before any
     shuffle, so that a common correct word costs nothing; a common disguised one is split by the join's skew handling.
     """
     known = reference_words(reference, word)
     rows = unlisted(df, text, known)
-    forms = consistent_forms(rows, text, reference, word).select("kl_text", F.posexplode("kl_forms").alias("kl_rank", "kl_form"))
-    hit = forms.join(known, "kl_form").groupBy("kl_text").agg(F.min_by("kl_form", "kl_rank").alias("kl_form"))
+    spark = df.sparkSession
+    models = spark.sparkContext.broadcast(train(reference, word))
+
+    def run(piece):
+        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, words = models.value, piece.value
+            for b in batches:
+                found = [(t, score, form) for t in b["kl_text"] for score, form in scored_readings(t, held, PATHS, words)]
+                yield pd.DataFrame(found, columns=["kl_text", "kl_score", "kl_form"])
+
+        return of
+
+    pieces = word_pieces(reference.select(reference[word].alias("w")).filter("w IS NOT NULL AND w <> ''").distinct(), REFERENCE_BYTES)
+    texts = spread(rows.select(rows[text].alias("kl_text")))
+    texts = texts if len(pieces) == 1 else settled(texts)
+    forms = None
+    for piece in pieces:
+        words = sorted(r.w for r in piece.collect())  # at most REFERENCE_BYTES
+        part = texts.mapInPandas(run(spark.sparkContext.broadcast(words)), "kl_text STRING, kl_score DOUBLE, kl_form STRING")
+        forms = part if forms is None else forms.unionByName(part)
+    hit = forms.join(known, "kl_form").groupBy("kl_text").agg(F.min_by("kl_form", F.struct(-F.col("kl_score"), "kl_form")).alias("kl_form"))
     return rows.join(hit, rows[text] == hit["kl_text"]).drop("kl_text")

@@ -24,3 +24,10 @@ def unlisted(df: DataFrame, text: str, known: DataFrame) -> DataFrame:
 def spread(texts: DataFrame) -> DataFrame:
     """Distinct texts over all the session's shuffle partitions, for work in Python that is heavy for their bytes."""
     return texts.distinct().repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def word_pieces(words: DataFrame, most: int) -> list[DataFrame]:
+    """The distinct words (``w``) in pieces by hash of about ``most`` bytes, to be held one at a time: one piece unless
+    they are more."""
+    count = max(1, -(-(words.agg(F.sum(F.octet_length("w"))).first()[0] or 0) // most))
+    return [words] if count == 1 else [words.filter(F.pmod(F.xxhash64("w"), F.lit(count)) == k) for k in range(count)]

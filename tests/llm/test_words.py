@@ -3,6 +3,7 @@ import random
 import pytest
 
 from keyloom.llm import lookalike, mojibake
+from keyloom.llm.lattice import Lattice
 
 WORDS = ["chesdré", "vaca", "skiza shotradri", "o'mipe", "cufiet-thortri", "дяло", "сорех", "тычи", "σήχασο", "χαζος", "ビエロイ", "ガード", "다포산사", "Virsho", "rofiànd", "fluśglist", "thønthar", "ñahi", "glűtdề", "fiflin", "šhorvoudo", "Éclair"]
 
@@ -35,6 +36,16 @@ def test_consistent_forms_keep_what_they_cannot_read(spark):
     assert lookalike.disguised_words(rows(spark, ["vаcа"]), "word", empty, "word").count() == 0 and lookalike.disguised_words(rows(spark, []), "word", lexicon(spark), "word").count() == 0
 
 
+def test_many_paths_lose_no_reference_word(spark, monkeypatch):
+    """Look-alikes within one script: the word asked for reads worst of 2 ** 6 spellings."""
+    words = ["ニロカエタト"] * 5 + ["二口力工夕卜ハ", "ニ口力工夕卜"]
+    listed = spark.createDataFrame([(w,) for w in [*words, *("二ロ" + "カエタト" + x for x in "アイウオ")]], "word STRING")
+    for held in (4_000_000, 30):
+        monkeypatch.setattr(lookalike, "REFERENCE_BYTES", held)
+        got = {r.word: r.kl_form for r in lookalike.disguised_words(rows(spark, ["二ロ力工夕卜ハ", "二口カ工タ卜ハ", "ニロ力エ夕トア"]), "word", listed, "word").collect()}
+        assert got == {"二ロ力工夕卜ハ": "二口力工夕卜ハ", "二口カ工タ卜ハ": "二口力工夕卜ハ", "ニロ力エ夕トア": "二ロカエタトア"}
+
+
 def test_viterbi_stays_in_one_script():
     grams = {}
     for w in ("рос", "сор"):
@@ -107,7 +118,7 @@ def test_lattice_walk_finds_every_word():
     for _ in range(200):
         n = rng.randint(1, 6)
         edges = [[(rng.choice("abc"), min(n, k + rng.randint(1, 2)), rng.choice([0, 1])) for _ in range(rng.randint(0, 3))] for k in range(n)] + [[]]
-        lattice = mojibake.Lattice(edges, frozenset([n]))
+        lattice = Lattice(edges, frozenset([n]))
         every = set(lattice.all())
         words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(40)})
         assert set(lattice.along(words)) == {x for x in every if x[0] in words}
