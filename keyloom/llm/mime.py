@@ -23,7 +23,6 @@ _PARAMETER = re.compile(r"""(?i);\s*(boundary|charset|filename|name)\s*=\s*(?:"(
 _SOFT = re.compile(r"=[ \t]*\r?\n|=[ \t]*\Z")
 _ESCAPED = re.compile(rb"=([0-9A-Fa-f]{2})")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
-DEEPEST = 20
 
 
 def _fields(head: str) -> tuple[str, str, str, dict[str, str]]:
@@ -82,37 +81,41 @@ def decode_body(body: str, encoding: str, charset: str) -> str:
     return body
 
 
-def parts(message: str, deepest: int = DEEPEST, top: bool = True) -> list[Part]:
-    """The text parts of a message in their order. No header of a type makes all after the headers plain text.
-
-    An empty message has no parts; parts nested deeper than ``deepest`` are taken as plain text.
+def parts(message: str) -> list[Part]:
+    """The text parts of a message in their order, however deep they are nested. No header of a type makes all after the
+    headers plain text. An empty message has no parts.
     """
-    end = _HEAD_END.search(message)
-    if message[:1] in "\r\n":
-        head, body = "", message.lstrip("\r\n") if top else message[1:].removeprefix("\n")
-    elif end:
-        head, body = message[: end.start()], message[end.end() :]
-    else:
-        head, body = message, ""
-    kind, encoding, disposition, parameters = _fields(head)
-    attached = disposition == "attachment" or (disposition != "inline" and "filename" in parameters)
-    if kind.startswith("multipart/") and parameters.get("boundary") and deepest:
-        mark = "--" + parameters["boundary"]
-        out: list[Part] = []
-        lines = re.split(rf"(?m)^{re.escape(mark)}(--)?[ \t]*\r?$\n?", body)
-        for k in range(2, len(lines), 2):
-            if lines[k - 1]:  # what follows the closing mark
-                break
-            piece = lines[k]
-            if k + 1 < len(lines):  # the line end before a mark belongs to the mark
-                piece = piece[:-2] if piece.endswith("\r\n") else piece[:-1] if piece.endswith("\n") else piece
-            out.extend(parts(piece, deepest - 1, False))
-        return out
-    if kind.startswith("text/") or not kind:
-        return [Part(kind or "text/plain", attached, decode_body(body, encoding, parameters.get("charset", "")))] if body else []
-    if kind == "message/rfc822" and deepest and not encoding == "base64":
-        return parts(body, deepest - 1)
-    return []
+    out: list[Part] = []
+    waiting = [(message, True)]
+    while waiting:
+        whole, top = waiting.pop()
+        end = _HEAD_END.search(whole)
+        if whole[:1] in "\r\n":
+            head, body = "", whole.lstrip("\r\n") if top else whole[1:].removeprefix("\n")
+        elif end:
+            head, body = whole[: end.start()], whole[end.end() :]
+        else:
+            head, body = whole, ""
+        kind, encoding, disposition, parameters = _fields(head)
+        attached = disposition == "attachment" or (disposition != "inline" and "filename" in parameters)
+        if kind.startswith("multipart/") and parameters.get("boundary"):
+            mark = "--" + parameters["boundary"]
+            inner: list[tuple[str, bool]] = []
+            lines = re.split(rf"(?m)^{re.escape(mark)}(--)?[ \t]*\r?$\n?", body)
+            for k in range(2, len(lines), 2):
+                if lines[k - 1]:  # what follows the closing mark
+                    break
+                piece = lines[k]
+                if k + 1 < len(lines):  # the line end before a mark belongs to the mark
+                    piece = piece[:-2] if piece.endswith("\r\n") else piece[:-1] if piece.endswith("\n") else piece
+                inner.append((piece, False))
+            waiting.extend(reversed(inner))
+        elif kind.startswith("text/") or not kind:
+            if body:
+                out.append(Part(kind or "text/plain", attached, decode_body(body, encoding, parameters.get("charset", ""))))
+        elif kind == "message/rfc822" and body:
+            waiting.append((decode_body(body, encoding, ""), True))
+    return out
 
 
 _HIDDEN = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|head|title)\b.*?(?:</\1\s*>|\Z)")
