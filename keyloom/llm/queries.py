@@ -58,7 +58,7 @@ def p7_near(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences(table(spark, d, "documents"), "doc_id", "text")
+    return sentences(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
 QUERIES = {"p2_found": p2_found, "p2_frequencies": p2_frequencies, "p3_found": p3_found, "p4_found": p4_found, "p4_weights": p4_weights, "p5_found": p5_found, "p6_ids": p6_ids, "p6_roundtrip": p6_roundtrip, "p7_found": p7_found, "p7_near": p7_near, "p8_found": p8_found}

@@ -3,6 +3,8 @@
 Nothing about a language's abbreviations is given: for each language, counts over the whole corpus tell by log-likelihood
 ratios which words are written with a period without ending a sentence, which words begin sentences, and which numbers
 and words go together. Every mark is then classified by these statistics and by the quotes and brackets around it.
+Languages that share the Latin script are told apart by words that are learned from labelled messages; other blocks go
+by their script. Messages are parsed once: their blocks and the counts are written together to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,28 +16,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.mime import plain_body
-from keyloom.session import settled, small_rows
-
-# Frequent function words that tell apart languages of the Latin script.
-FUNCTION_WORDS = {
-    "en": "the of and to is in it that was for on are with at be this have from or an by not has been as if we you my her his".split(),
-    "de": "der die das und ist nicht ein eine den dem im am zu mit auf wir ich sie es von hat aber bis um für wurde einen wo".split(),
-    "fr": "le la les et est un une des du de il elle qui que pour dans au aux sur pas nous vous avec ne se a on où si".split(),
-    "es": "el la los las y es un una de del que en por para con no se su al lo ha está si este esta qué dónde".split(),
-    "it": "il gli è una di della che per con non sono questo anche delle più".split(),
-    "nl": "het een en van dat niet zijn voor met aan door maar ook naar".split(),
-    "pt": "os uma do da dos das em para com não são foi também pelo".split(),
-}
-_FUNCTION = {w: [k for k, v in FUNCTION_WORDS.items() if w in v] for words in FUNCTION_WORDS.values() for w in words}
+from keyloom.session import settled
+
 _SCRIPTS = (
     ("th", re.compile("[฀-๿]")), ("am", re.compile("[ሀ-᎟]")), ("ja", re.compile("[ぁ-ヿ]")), ("zh", re.compile("[㐀-鿿]")),
     ("hi", re.compile("[ऀ-ॿ]")), ("ar", re.compile("[؀-ۿ]")), ("el", re.compile("[Ͱ-Ͽἀ-῿]")), ("ru", re.compile("[Ѐ-ӿ]")),
     ("ko", re.compile("[가-힣]")), ("he", re.compile("[֐-׿]")), ("hy", re.compile("[԰-֏]")), ("ka", re.compile("[Ⴀ-ჿ]")),
 )
+LATIN = "latin"
 _LETTER = re.compile(r"[^\W\d_]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BEYOND_LATIN = re.compile("[Ͱ-ᷟἀ-῿ぁ-￿]")
@@ -45,8 +38,20 @@ _RULE = re.compile(r"_{10,}")
 _SALUTATION = re.compile(r"[,:，：、،؛՝፣፥፦﹕﹐]\s*\Z")
 
 
-def _script_or_votes(block: str) -> str | dict[str, float]:
-    """The language that a block's script stands for; in the Latin script, the votes of its function words."""
+class Tongues(NamedTuple):
+    """How Latin-script languages are told apart: the words that tell, each with its scores by language, and the language
+    of a block that says nothing."""
+
+    words: dict[str, tuple[tuple[str, float], ...]]
+    most: str = LATIN
+
+
+#: By how much the best language of a block has to lead for the rest of the body not to be asked.
+LEAD = 2.0
+
+
+def _script_or_votes(block: str, tongues: Tongues) -> str | dict[str, float]:
+    """The language that a block's script stands for; in the Latin script, the scores of its words."""
     if not block.isascii() and _BEYOND_LATIN.search(block):
         letters = len(_LETTER.findall(block))
         for name, pattern in _SCRIPTS:
@@ -56,25 +61,27 @@ def _script_or_votes(block: str) -> str | dict[str, float]:
             if n * 2 > letters or (name in ("ja", "zh") and n * 3 > letters):
                 return name
     votes: dict[str, float] = {}
-    for w in _LETTERS.findall(block.lower()):
-        for k in (known := _FUNCTION.get(w, ())):
-            votes[k] = votes.get(k, 0) + 1 / len(known)
+    if tongues.words:
+        for w in _LETTERS.findall(block.lower()):
+            for k, x in tongues.words.get(w, ()):
+                votes[k] = votes.get(k, 0.0) + x
     return votes
 
 
-def languages_of(parts: list[str]) -> list[str]:
-    """Language of each block of a body: by its script or function words; what these leave open, the whole body tells."""
-    told = [_script_or_votes(p) for p in parts]
-    whole: dict[str, float] = {"en": 1e-9}
+def languages_of(parts: list[str], tongues: Tongues) -> list[str]:
+    """Language of each block of a body: by its script or words; what these leave open, the whole body tells."""
+    told = [_script_or_votes(p, tongues) for p in parts]
+    whole: dict[str, float] = {}
     for votes in told:
         for k, n in votes.items() if isinstance(votes, dict) else ():
-            whole[k] = whole.get(k, 0) + n
+            whole[k] = whole.get(k, 0.0) + n
     out = []
     for votes in told:
         if isinstance(votes, dict):
-            most = max(votes.values(), default=0)
-            open_ = [k for k in votes if votes[k] == most] or list(whole)
-            votes = max(open_, key=lambda k: (whole[k], k))
+            ranked = sorted(votes.values(), reverse=True)
+            if len(ranked) < 2 or ranked[0] - ranked[1] < LEAD:
+                votes = {k: votes.get(k, 0.0) + x for k, x in whole.items()}
+            votes = max(votes, key=lambda k: (votes[k], k)) if votes else tongues.most
         out.append(votes)
     return out
 
@@ -100,8 +107,7 @@ _SPAN = re.compile("[.…!?！？。．｡؟।॥።፧፨۔‼⁇⁈⁉;;]+")
 _PARTING = re.compile(r"[\s“„”«»‹›\"「」『』（）()\[\]—–/…。！？．｡、，：।።]")
 _QUOTE = re.compile("[" + re.escape("".join(OPENERS) + CLOSERS + '"“»«”') + "]")
 _NEXT = re.compile(r"\S")
-#: Characters around a mark that are looked at.
-AROUND = 60
+_FIRST = re.compile(r"[¿¡\"“„«»「『（(\[‹—–\-\s]*([^\W_]+)?")
 _PIECES = re.compile(r"(?:[^\W\d_]{1,4}[.\-’']*)+\Z")
 _ORDINAL = re.compile(r"\d{1,3}\Z")
 _NUMBER = re.compile(r"[+\-]?\d[\d.,:/\-]*\Z")
@@ -114,7 +120,8 @@ class Mark(NamedTuple):
     stop: int  # after the closing signs
     kind: str  # dot, dots or hard
     before: str  # the word before, in lower case
-    after: str  # what follows behind blanks, as far as it is looked at
+    after: str  # the sign that follows behind blanks, empty at the end
+    first: str  # the word that follows behind blanks, quotes and dashes
     spaced: bool  # whether a blank or the block's end follows
     quoted: str  # closing signs that follow at once
     inside: bool  # whether an outer quote or bracket stays open
@@ -147,7 +154,7 @@ def marks(text: str) -> Iterator[Mark]:
     """The marks of a block in their order."""
     pairs = _pairs(text)
     spans = sorted((a, b) for b, a in pairs.items())
-    size, next_span, reach = len(text), 0, -1
+    size, next_span, reach, token = len(text), 0, -1, 0
     for m in _SPAN.finditer(text):
         run, start, stop = m.group(), m.start(), m.end()
         if run == "." and stop < size and text[stop].isalnum():
@@ -162,46 +169,55 @@ def marks(text: str) -> Iterator[Mark]:
                 at += 1
             else:
                 break
-        head = text[max(0, start - AROUND) : start]
-        bare = head.rstrip()
-        before = _PARTING.split(bare)[-1]
         follows = _NEXT.search(text, stop)
-        after = text[follows.start() : follows.start() + AROUND] if follows else ""
+        spaced = not follows or follows.start() > stop
+        after = follows[0] if follows else ""
+        first = (m1[1] or "") if follows and (m1 := _FIRST.match(text, follows.start())) else ""
         if any(c in _HARD for c in run):
             kind = "hard"
         else:
             dots = run.count(".") + 2 * run.count("…")
             kind = "dots" if dots > 1 else "dot"
+        before = ""
+        if spaced or signs or kind == "dots":
+            end = start
+            while end and text[end - 1].isspace():
+                end -= 1
+            at = end
+            while at > token and not _PARTING.match(text[at - 1]):  # the word's own begin; never behind one known before
+                at -= 1
+            before, token = text[at:end].lower(), at
         while next_span < len(spans) and spans[next_span][0] < start:
             reach = max(reach, spans[next_span][1])
             next_span += 1
-        yield Mark(start, stop, kind, before.lower(), after, not follows or follows.start() > stop, signs, reach >= stop, opened)
-
-
-_FIRST = re.compile(r"[¿¡\"“„«»「『（(\[‹—–\-\s]*([^\W_]+)?")
-
-
-def _first(text: str) -> str:
-    m = _FIRST.match(text)
-    return (m[1] or "") if m else ""
+        yield Mark(start, stop, kind, before, after, first, spaced, signs, reach >= stop, opened)
 
 
 def _outcome(mark: Mark) -> str:
     """What follows a period: the block's end, a continuation, a capital, or other."""
     if not mark.after:
         return "end"
-    c = mark.after[0]
+    c = mark.after
     if c in ",;:)،，；：" or c.isdigit() or c.islower():
         return "on"
-    return "up" if _first(mark.after)[:1].isupper() else "other"
+    return "up" if mark.first[:1].isupper() else "other"
 
 
-def events(block: str, language: str) -> Iterator[tuple[str, str, str, str]]:
-    """(language, kind, word, outcome) of one block, to be counted."""
-    for w in _LETTERS.findall(block.lower()):
-        yield language, "w", w, ""
-    if first := _first(block[:200]):
-        yield language, "s", first.lower(), ""
+#: Scripts written without blanks: the word before an ellipsis is no unit there, its last signs are.
+_UNSPACED = re.compile("[฀-๿ぁ-ヿ㐀-鿿]")
+
+
+def _ending(word: str) -> str:
+    """What an ellipsis goes with: the word before it, or in scripts without blanks its last two signs."""
+    return word[-2:] if word and _UNSPACED.match(word[-1]) else word
+
+
+def count_events(block: str, language: str, held: Counter) -> None:
+    """Adds the (language, kind, word, outcome) events of one block to a counter."""
+    for w, n in Counter(_LETTERS.findall(block.lower())).items():
+        held[language, "w", w, ""] += n
+    if first := _FIRST.match(block)[1]:
+        held[language, "s", first.lower(), ""] += 1
     for m in marks(block):
         if not m.spaced and m.kind == "dot" and not m.quoted:
             continue
@@ -209,12 +225,12 @@ def events(block: str, language: str) -> Iterator[tuple[str, str, str, str]]:
         if m.kind == "dot":
             if _NUMBER.fullmatch(m.before):
                 if _ORDINAL.fullmatch(m.before):
-                    yield language, "n", _first(m.after).lower(), outcome
+                    held[language, "n", m.first.lower(), outcome] += 1
             else:
-                yield language, "d", m.before, outcome
+                held[language, "d", m.before, outcome] += 1
         elif m.kind == "dots":
-            yield language, "e", m.before[-6:], outcome
-        yield language, "m", "", outcome
+            held[language, "e", _ending(m.before), outcome] += 1
+        held[language, "m", "", outcome] += 1
 
 
 def _llr(k1: float, n1: float, k2: float, n2: float) -> float:
@@ -282,7 +298,7 @@ def _ends(m: Mark, language: str, model: Model, sentence_start: int, text: str)
         return True
     if m.inside:
         return False
-    c, first = m.after[0], _first(m.after)
+    c, first = m.after, m.first
     cased = first[:1].isupper() or first[:1].islower()
     wide = any(x in "。．｡！？।॥።" for x in text[m.start : m.stop])
     if not m.spaced and not wide and not (m.kind == "dots" and language in ("zh", "ja")) and not (m.kind == "hard" and m.quoted and language in ("zh", "ja")):
@@ -307,7 +323,7 @@ def _ends(m: Mark, language: str, model: Model, sentence_start: int, text: str)
         return True
     low = first.lower()
     if m.kind == "dots":
-        word = m.before[-6:]
+        word = _ending(m.before)
         if (language, word) in model.going_on:
             return False
         if c.islower():
@@ -368,39 +384,119 @@ def _rejoined(pieces: list[str]) -> list[str]:
     return out
 
 
+#: Rows of labelled messages that the words of languages are learned from (a sample by hash), the share of them that a
+#: language must have, and the telling words kept for each.
+SAMPLE_ROWS, LEAST_SHARE, TELLING = 5_000, 0.02, 200
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each message's Latin blocks by label, counted; an empty word counts the messages."""
+    held: Counter[tuple[str, str]] = Counter()
+    for b in batches:
+        for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            body = plain_body(text) if text else None
+            latin = [p for p in blocks(body) if isinstance(_script_or_votes(p, Tongues({})), dict)] if body else []
+            if words := {w for p in latin for w in _LETTERS.findall(p.lower())}:
+                held.update((label, w) for w in (*words, ""))
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["label", "word", "n"])
+
+
+def learn_languages(df: DataFrame, text: str, label: str | None) -> Tongues:
+    """The words that tell Latin-script languages apart, by log-likelihood ratio over labelled messages.
+
+    Labels may be wrong or rare: those with less than ``LEAST_SHARE`` of the messages are no language of their own. At
+    most about ``SAMPLE_ROWS`` messages are read, chosen by hash. Without labels the Latin script is one language.
+    """
+    if label is None:
+        return Tongues({})
+    rows = df.select(df[label].cast("string").alias("label"), df[text].alias("text")).filter("label IS NOT NULL AND text IS NOT NULL")
+    total = rows.count()
+    if total > SAMPLE_ROWS:
+        rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_ROWS / total))
+    counts = rows.mapInArrow(_labelled, "label STRING, word STRING, n BIGINT").groupBy("label", "word").agg(F.sum("n").alias("n")).filter(f"word = '' OR n >= {SEEN}")
+    per: dict[str, dict[str, int]] = {}
+    for r in counts.collect():  # words of a bounded sample
+        per.setdefault(r.label, {})[r.word] = r.n
+    messages = sum(own.get("", 0) for own in per.values())
+    per = {k: own for k, own in per.items() if own.get("", 0) >= LEAST_SHARE * messages}
+    if not per:
+        return Tongues({})
+    size = {k: own.pop("") for k, own in per.items()}
+    whole = sum(size.values())
+    summed: Counter[str] = Counter()
+    for own in per.values():
+        summed.update(own)
+    telling: set[str] = set()
+    for k, own in per.items():
+        ranked = sorted(((_llr(n, size[k], summed[w] - n, whole - size[k]), w) for w, n in own.items() if n * whole > summed[w] * size[k]), reverse=True)
+        telling.update(w for x, w in ranked[:TELLING] if x >= LEAST)
+    words = {}
+    for w in telling:
+        rate = {k: math.log((own.get(w, 0) + 0.5) / (size[k] + 1)) for k, own in per.items()}
+        least = min(rate.values())
+        words[w] = tuple((k, x - least) for k, x in sorted(rate.items()))
+    return Tongues(words, max(size, key=lambda k: (size[k], k)))
+
+
 _COUNTS = "language STRING, kind STRING, word STRING, outcome STRING, n BIGINT"
+_PARSED = f"kl_row BIGINT, kl_doc BIGINT, kl_blocks ARRAY<STRING>, kl_languages ARRAY<STRING>, {_COUNTS}"
 #: Distinct events that a map task counts before it hands them on; bounds its memory.
 COUNTED = 500_000
-#: Most rows of the learned model.
+#: Most rows of the learned model that are sent to every executor; a larger one is joined to the documents' words.
 MODEL_ROWS = 300_000
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[tuple[str, str, str, str]] = Counter()
+def _parse(model):
+    """Messages to rows of two kinds: a message's blocks with their languages, and counts of events."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[str, str, str, str]] = Counter()
+        tongues, row = model.value, TaskContext.get().partitionId() << 40
+        schema = pa.schema([("kl_row", pa.int64()), ("kl_doc", pa.int64()), ("kl_blocks", pa.list_(pa.string())), ("kl_languages", pa.list_(pa.string())), *((c, pa.string()) for c in ("language", "kind", "word", "outcome")), ("n", pa.int64())])
 
-    def flush() -> pa.RecordBatch:
-        columns = list(zip(*held)) or [(), (), (), ()]
-        made = pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(list(held.values()), pa.int64())], ["language", "kind", "word", "outcome", "n"])
-        held.clear()
-        return made
+        def made(columns: dict[str, list], size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            body = plain_body(text) if text else None
-            parts = blocks(body) if body else []
-            for block, language in zip(parts, languages_of(parts)):
-                held.update(events(block, language))
-        if len(held) >= COUNTED:
+        def flush() -> pa.RecordBatch:
+            columns = dict(zip(("language", "kind", "word", "outcome"), map(list, zip(*held)))) | {"n": list(held.values())}
+            out = made(columns, len(held))
+            held.clear()
+            return out
+
+        for b in batches:
+            rows, docs, parts, languages = [], [], [], []
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                body = plain_body(text) if text else None
+                if not (own := blocks(body) if body else []):
+                    continue
+                told = languages_of(own, tongues)
+                for block, language in zip(own, told):
+                    count_events(block, language, held)
+                rows.append(row)
+                docs.append(doc)
+                parts.append(own)
+                languages.append(told)
+                row += 1
+            if rows:
+                yield made({"kl_row": rows, "kl_doc": docs, "kl_blocks": parts, "kl_languages": languages}, len(rows))
+            if len(held) >= COUNTED:
+                yield flush()
+        if held:
             yield flush()
-    if held:
-        yield flush()
+
+    return run
 
 
-def learn(df: DataFrame, text: str) -> Model:
-    """Counts over all bodies of ``df`` and what they tell. Words are judged where they are counted; only what is learned
-    reaches the driver, and fails rather than being cut where it has more than ``MODEL_ROWS`` rows."""
-    counts = df.select(df[text]).mapInArrow(_counted, _COUNTS).groupBy("language", "kind", "word", "outcome").agg(F.sum("n").alias("n"))
-    counts = settled(counts)
+def parsed_messages(df: DataFrame, doc_id: str, text: str, label: str | None = None) -> DataFrame:
+    """Blocks and counts of all messages, parsed once and written to the shared folder."""
+    tongues = df.sparkSession.sparkContext.broadcast(learn_languages(df, text, label))
+    return settled(df.select(df[doc_id].cast("bigint").alias("kl_doc"), df[text].alias("kl_text")).mapInArrow(_parse(tongues), _PARSED))
+
+
+def learn(parsed: DataFrame) -> DataFrame:
+    """The model as a table ``what, language, word``: counts over all bodies and what they tell. Words are judged where
+    they are counted."""
+    counts = settled(parsed.filter("kind IS NOT NULL").groupBy("language", "kind", "word", "outcome").agg(F.sum("n").alias("n")))
     totals: dict[tuple[str, str], int] = {}
     for r in counts.groupBy("language", "kind", "outcome").agg(F.sum("n").alias("n")).collect():  # languages x kinds x outcomes
         totals[r.language, r.kind] = totals.get((r.language, r.kind), 0) + r.n
@@ -414,26 +510,44 @@ def learn(df: DataFrame, text: str) -> Model:
         .join(alone, ["language", "word"], "left")
     )
     judged = F.udf(lambda language, kind, word, n, a: judge(language, kind, word, n, totals, a or 0), "array<string>", useArrow=True)
-    rows = per.select("language", "kind", "word", F.explode(judged("language", "kind", "word", "n", "alone")).alias("what"))
-    sets: dict[str, set[tuple[str, str]]] = {k: set() for k in Model._fields}
-    rows = settled(rows)
+    rows = settled(per.select("language", "kind", "word", F.explode(judged("language", "kind", "word", "n", "alone")).alias("what")))
     short = rows.filter("what = 'short'").select("language", "word").distinct()
-    kept = rows.filter("what <> 'ending' OR kind = 'e'").unionByName(rows.filter("what = 'ending' AND kind = 'd'").join(short, ["language", "word"], "left_semi"))
-    for r in small_rows(kept, MODEL_ROWS, "the sentence model"):
-        sets[r.what].add((r.language, ("…" if r.kind == "e" and r.what == "ending" else "") + r.word))
+    kept = rows.filter("what <> 'ending' OR kind = 'e'").unionByName(rows.filter("what = 'ending' AND kind = 'd'").join(short, ["language", "word"], "left_semi").select(*rows.columns))
+    word = F.when((F.col("kind") == "e") & (F.col("what") == "ending"), F.concat(F.lit("…"), "word")).otherwise(F.col("word"))
+    return kept.select("what", "language", word.alias("word")).distinct()
+
+
+def _model(rows) -> Model:
+    sets: dict[str, set[tuple[str, str]]] = {k: set() for k in Model._fields}
+    for what, language, word in rows:
+        sets[what].add((language, word))
     return Model(**{k: frozenset(v) for k, v in sets.items()})
 
 
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(message, language, word) of all that a message's marks may ask the model about."""
+    for b in batches:
+        found = []
+        for row, parts, told in zip(*(b.column(k).to_pylist() for k in range(3))):
+            own = set()
+            for block, language in zip(parts, told):
+                for m in marks(block):
+                    own.update((language, w) for w in (m.before, _ending(m.before), "…" + _ending(m.before), m.first.lower()))
+            found.extend((row, *x) for x in own)
+        rows, languages, words = zip(*found) if found else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(languages, pa.string()), pa.array(words, pa.string())], ["kl_row", "language", "word"])
+
+
 def _split(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        shared = model.value if model is not None else None
         for b in batches:
             docs, found = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                body = plain_body(text) if text else None
+            told = [None] * b.num_rows if shared is not None else b.column(3).to_pylist()
+            for doc, parts, languages, rows in zip(*(b.column(k).to_pylist() for k in range(3)), told):
+                known = shared if shared is not None else _model((r["what"], r["language"], r["word"]) for r in rows or ())
                 own: dict[str, None] = {}
-                parts = blocks(body) if body else []
-                for block, language in zip(parts, languages_of(parts)):
+                for block, language in zip(parts, languages):
                     own.update(dict.fromkeys(split_block(block, language, known)))
                 docs.extend([doc] * len(own))
                 found.extend(own)
@@ -442,11 +556,21 @@ def _split(model):
     return run
 
 
-def sentences(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, sentence``: the distinct sentences of each message's body, in one narrow pass after the learning.
+def sentences(df: DataFrame, doc_id: str, text: str, label: str | None = None) -> DataFrame:
+    """``doc_id, sentence``: the distinct sentences of each message's body.
 
     Null, empty and blank texts, and messages without a plain body, give no rows. Documents under another id come out on
-    their own; very long bodies are one task's work each.
+    their own; very long bodies are one task's work each. ``label``: a column of (possibly wrong) languages. The learned
+    model is sent to all where it is small; beyond ``MODEL_ROWS`` each message gets the part of it that its own words ask
+    for, by an equi-join.
     """
-    model = df.sparkSession.sparkContext.broadcast(learn(df, text))
-    return df.select(df[doc_id].cast("bigint").alias("kl_doc"), df[text].alias("kl_text")).mapInArrow(_split(model), "kl_doc BIGINT, sentence STRING").withColumnRenamed("kl_doc", doc_id)
+    parsed = parsed_messages(df, doc_id, text, label)
+    model = settled(learn(parsed))
+    docs = parsed.filter("kl_blocks IS NOT NULL")
+    out = "kl_doc BIGINT, sentence STRING"
+    if model.count() <= MODEL_ROWS:
+        shared = df.sparkSession.sparkContext.broadcast(_model(model.collect()))
+        return docs.select("kl_doc", "kl_blocks", "kl_languages").mapInArrow(_split(shared), out).withColumnRenamed("kl_doc", doc_id)
+    asked = docs.select("kl_row", "kl_blocks", "kl_languages").mapInArrow(_asked, "kl_row BIGINT, language STRING, word STRING")
+    own = asked.join(model, ["language", "word"]).groupBy("kl_row").agg(F.collect_list(F.struct("what", "language", "word")).alias("kl_model"))
+    return docs.join(own, "kl_row", "left").select("kl_doc", "kl_blocks", "kl_languages", "kl_model").mapInArrow(_split(None), out).withColumnRenamed("kl_doc", doc_id)

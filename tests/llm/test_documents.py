@@ -60,6 +60,12 @@ def test_parts(line):
 def test_odd_messages():
     assert mime.parts("") == [] and mime.plain_body("Subject: x") is None and mime.plain_body("Subject: x\n\nbody") == "body"
     assert mime.plain_body(mail((HTML, "<p>x</p>"))) is None and mime.plain_body(mail((PLAIN, "cut off"), end=False)) == "cut off"
+    deep = "Content-Type: text/plain\n\nbottom"
+    for k in range(60):
+        deep = f'Content-Type: multipart/mixed; boundary="b{k}"\n\n--b{k}\n{deep}\n--b{k}--' if k % 2 else f"Content-Type: message/rfc822\n\n{deep}"
+    assert [p.text for p in mime.parts(deep)] == ["bottom"]
+    forwarded = "Content-Type: message/rfc822\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(b"Subject: x\n\ninner").decode()
+    assert mime.readable(forwarded) == ["inner"] and mime.parts("Content-Type: multipart/mixed; boundary=x\n\n") == []
     cut = "Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode("abcé".encode()).decode()[:-2]
     assert mime.plain_body(cut).startswith("abc") and mime.html_text("<style>p{}</style><!-- c -->a<script>x</script>b").split() == ["a", "b"]
 
@@ -153,12 +159,41 @@ CASES = {
 }
 
 
-def test_sentences(spark):
+def test_sentences(spark, monkeypatch):
     learning = corpus()
+    label = lambda t: "de" if "Das " in t or "Nr." in t or "Wir " in t else "fr" if "« Qui" in t else "en"
     df = docs(spark, [*learning, *("Subject: x\n\n" + c for c in CASES), None, "", "  ", "Content-Type: text/html\n\n<p>Hi.</p>"])
     got: dict[int, set[str]] = {}
-    for r in sentences.sentences(df, "doc_id", "text").filter(F.col("doc_id") >= len(learning)).collect():
+    df = df.withColumn("own", F.udf(lambda t: label(t or ""), "string")("text"))
+    for r in sentences.sentences(df, "doc_id", "text", "own").filter(F.col("doc_id") >= len(learning)).collect():
         assert r.sentence not in got.setdefault(r.doc_id, set())
         got[r.doc_id].add(r.sentence)
     assert {k - len(learning): v for k, v in got.items()} == {k: set(v) for k, v in enumerate(CASES.values())}
-    assert sentences.sentences(df.limit(0), "doc_id", "text").count() == 0
+    assert sentences.sentences(df.limit(0), "doc_id", "text", "own").count() == 0
+    few = {(r.doc_id, r.sentence) for r in sentences.sentences(df, "doc_id", "text", "own").collect()}
+    monkeypatch.setattr(sentences, "MODEL_ROWS", 3)
+    assert {(r.doc_id, r.sentence) for r in sentences.sentences(df, "doc_id", "text", "own").collect()} == few
+
+
+def test_long_tokens_and_many_marks():
+    """Words are taken whole, and marks are looked at in linear time."""
+    import time
+
+    word = "Donau" + "dampf" * 30
+    m = next(sentences.marks(f"{word}. {word.upper()} x"))
+    assert m.before == word.lower() and m.first == word.upper()
+    began = time.time()
+    for text in ("a?b" * 50_000, "x.. " * 50_000, "啊…" * 50_000, "-. " * 50_000, ". " * 50_000, '"a." ' * 20_000, "a" * 200_000 + "."):
+        sum(1 for _ in sentences.marks(text))
+    assert time.time() - began < 30
+
+
+def test_languages_are_learned(spark):
+    rng = random.Random(6)
+    words = {"aa": ["mo", "ti", "re", "sa"], "bb": ["lu", "ti", "ke", "no"], "cc": ["zz"]}
+    rows = [(" ".join(rng.choice(words[k]) for _ in range(12)), k) for k in ["aa"] * 60 + ["bb"] * 40 + ["cc"]]
+    df = spark.createDataFrame([("S: x\n\n" + t, k) for t, k in rows] + [(None, "aa"), ("S: x\n\nслово", "ru"), ("S: x\n\nmo", None)], "text STRING, own STRING")
+    tongues = sentences.learn_languages(df, "text", "own")
+    assert tongues.most == "aa" and {k for w in tongues.words.values() for k, _ in w} == {"aa", "bb"} and "ti" not in tongues.words
+    assert sentences.languages_of(["mo re.", "lu ke lu", "x", "слово"], tongues)[:2] == ["aa", "bb"] and sentences.languages_of(["слово"], tongues) == ["ru"]
+    assert sentences.languages_of(["x y"], tongues) == ["aa"] and sentences.languages_of(["x y"], sentences.learn_languages(df, "text", None)) == ["latin"]
