@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from keyloom.config import SOS
 
@@ -49,18 +47,11 @@ def equal_ignoring_case(a: Column, b: Column) -> Column:
     return (F.size(a) == F.size(b)) & F.forall(same, lambda x: x)
 
 
-@pandas_udf(StringType())
-def titlecase(text):
+def titlecase(text: Column | str) -> Column:
     """The first letter of every word in title case, the rest in lower case; words end at anything but letters, digits,
     marks and inner apostrophes. Nulls stay null."""
-    import regex
-
-    word = regex.compile(r"[\p{L}\p{N}\p{M}]+(?:['’][\p{L}\p{M}]+)*")
-
-    def one(s):
-        return word.sub(lambda m: m.group()[:1].title() + m.group()[1:].lower(), s) if s is not None else None
-
-    return text.map(one)
+    pieces = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[^\p{L}\p{N}\p{M}]+"), F.lit(0))
+    return F.array_join(F.transform(pieces, F.initcap), "")
 
 
 def is_special(token: Column) -> Column:

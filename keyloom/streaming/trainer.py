@@ -15,7 +15,7 @@ COUNTS = "tokens ARRAY<STRING>, n BIGINT, entry_type INT, batch BIGINT"
 def running_counts(stream: DataFrame, words: str, most: int = 3) -> DataFrame:
     """A streaming count of words and n-grams, for update or complete mode. Counts don't depend on order, so no
     watermark is needed, and its state is the vocabulary."""
-    return ngrams.occurrences(stream, words, most).groupBy("tokens").agg(F.count("*").alias("n"))
+    return ngrams.count_ngrams(stream, words, most).select("tokens", "n")
 
 
 def train_stream(stream: DataFrame, words: str, store: str, checkpoint: str, most: int = 3) -> StreamingQuery:

@@ -200,7 +200,7 @@ def test_syllables(spark):
 def test_text_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(fn.graphemes(F.lit("éa👩‍👩‍👧"))) == ["é", "a", "👩‍👩‍👧"] and one(fn.graphemes(F.lit(""))) == []
-    assert one(fn.titlecase(F.lit("o'neil-smith ÉCOLE x2b"))) == "O'neil-Smith École X2b" and one(fn.trimmed(F.lit("  a b\t"))) == "a b"
+    assert one(fn.titlecase(F.lit("o'neil-smith ÉCOLE x2b"))) == "O'neil-Smith École X2b" and one(fn.titlecase(F.lit("ǆ ßa 'tis МИР x’Y"))) == "ǅ Ssa 'Tis Мир X’y" and one(fn.titlecase(F.lit(None).cast("string"))) is None and one(fn.trimmed(F.lit("  a b\t"))) == "a b"
     assert one(fn.split_at(F.lit("a.b.c"), ".", 1)) == ["a", "b.c"] and one(fn.split_at(F.lit("a "), " ")) == ["a", ""]
     assert one(fn.without_pos(F.lit("x_y_NOUN"))) == "x_y" and one(fn.links(F.lit('<li><a href="u">x'))) == ["u"]
     assert one(fn.special_to_id(F.lit(SOS))) == -2 and one(fn.id_to_special(F.lit(-2))) == SOS and one(fn.opposite_case(F.lit("a"))) == "A"
@@ -255,6 +255,19 @@ def test_archive(spark, tmp_path):
         archive.write_archive(str(tmp_path / "y.flex"), manifest, {"de": str(tmp_path / "en")})
 
 
+def test_a_dictionary_file_in_many_splits(spark, tmp_path):
+    rows = [word(f"w{k:04d}", k, bad=k % 7 == 0) for k in range(400)] + [(1, 2, [f"w{k:04d}", f"w{k + 1:04d}"], k, False, False, None) for k in range(300)]
+    fldic.write(entries(spark, rows), str(tmp_path / "d"), "https://schemas.example/nlp/v0~draft1/fldic.txt")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.text(str(tmp_path / "d")).rdd.getNumPartitions() > 3
+        got = {(tuple(r.tokens), r.score, r.is_possibly_offensive) for r in fldic.read(spark, str(tmp_path / "d"), strict=True).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert got == {(tuple(t), s, p) for _, _, t, s, p, _, _ in rows}
+
+
 def test_lexicon_stats_files(spark, tmp_path):
     df = record(spark, ("a", "noun", [(["obsolete"],), (["t"],)]), ("b", "verb", [([],)]), ("c1", "verb", [(None, None, ["k"])]))
     rows = lexicon.stats(df, lexicon.classify(lexicon.word_totals(lexicon.senses(df))))
