@@ -365,6 +365,16 @@ def grapheme_split(spark, d):
     return words.select("word", F.size(fn.graphemes(F.col("word"))).alias("graphemes"))
 
 
+def sign_checks(spark, d):
+    """Words by their signs: joined again, whether they begin with two given ones, and whether the keys of the first two
+    are neighbours on the row that the first is on."""
+    near = F.create_map(*(x for k, v in NEAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+    rows = F.create_map(*(F.lit(x) for k, row in enumerate(("qwertyuiop", "asdfghjkl", "zxcvbnm")) for key in row for x in (key, k)))
+    words = table(spark, d, "lexicon").select("word", fn.graphemes(F.col("word")).alias("s")).filter("word IS NOT NULL").distinct()
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    return words.select("word", fn.joined(F.reverse("s")).alias("back"), fn.starts_with(F.col("s"), F.array(F.lit("s"), F.lit("h"))).alias("begins"), fn.in_proximity(near, first, second).alias("near"), fn.find_or(rows, first, F.lit(-1)).alias("row"))
+
+
 def sentence_segment(spark, d):
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(fn.segment_sentences(F.col("text"))).alias("place", "words")).select("doc_id", "place", F.array_join("words", JOINED).alias("words"))
@@ -391,7 +401,7 @@ QUERIES = {
         word_counts_by_lang, vocab_stats, laplace_frequency, multi_dict_merge, ngram_train, penalised_scores, reload_clamp, incremental_merge, ngram_presence, ngram_find,
         context_ignoring_case, next_word, stream_train, raw_text_train, registry_totals, entries_removed, lexicon_senses, lexicon_forms, lexicon_classify, lexicon_counters, lexicon_stats,
         lexicon_files, lexicon_project_words, wordlist_scores, wordlist_excluded, wordlist_files, yearly_counts, unigram_files, codec_roundtrip, dictionary_files, fuzzy_cost, fuzzy_near_keys,
-        fuzzy_suggest, suggest_flags, spell_check, spell_valid, spell_typos, shortcut_expand, flags_decode, case_map, suggestion_json, name_pieces, grapheme_split, sentence_segment,
+        fuzzy_suggest, suggest_flags, spell_check, spell_valid, spell_typos, shortcut_expand, flags_decode, case_map, suggestion_json, name_pieces, grapheme_split, sign_checks, sentence_segment,
         syllable_division, page_links, context_padding,
     )
 }
@@ -426,6 +436,7 @@ _COUNTS = """u as (select word, sum(coalesce(word_count, 0))::bigint n from (sel
 _DICT = f"""{_LEXICON}, {_COUNTS}, dict as (select q.word as text, 1 + coalesce(n, 0) as score, class = 'offensive' as is_possibly_offensive from q left join u on q.word = u.word
   where class in ('normal', 'offensive') and 1 + coalesce(n, 0) >= 2 and q.word <> '')"""
 
+_KEYS = ", ".join(f"'{k}': [{', '.join(repr(x) for x in v)}]" for k, v in NEAR.items())
 #: Whether a word is marked by ``_flagged``.
 _FLAGS = "len({0}) % 2 = 0 as is_possibly_offensive, len({0}) % 3 = 0 as is_hidden"
 
@@ -437,8 +448,7 @@ def _walk(near: bool, prefixes: bool) -> str:
     no dead end before, the row of the distance matrix, the cell at the typed word's own length, and whether the first
     signs are alike.
     """
-    keys = ", ".join(f"'{k}': [{', '.join(repr(x) for x in v)}]" for k, v in NEAR.items())
-    beside = f"when list_contains(coalesce(map_extract_value(map {{{keys}}}, s), []), l[i]) then 0.25::double" if near else ""
+    beside = f"when list_contains(coalesce(map_extract_value(map {{{_KEYS}}}, s), []), l[i]) then 0.25::double" if near else ""
     by_prefix = "(t1 > n and f1 and q1 <= 1.5)" if prefixes else "false"
     return f"""ws as (select w, l, len(l) n, list_transform(l, lambda x: case when upper(x) <> x then upper(x) else lower(x) end) o
   from (select distinct word w, list_transform(range(1, length_grapheme(word) + 1), lambda k: substring_grapheme(word, k, 1)) l from wordlist where row_id % 100 = 0 and word is not null)),
@@ -539,6 +549,9 @@ select event_id, (event_id & 255)::int as max_count, ((event_id >> 8) & 15)::int
     "name_pieces": """with p as (select p_partkey, string_split(p_name || ' ', ' ') x from part), c as (select p_partkey, case when len(x) > 3 then list_concat(x[1:2], [array_to_string(x[3:], ' ')]) else x end x from p)
 select p_partkey, (unnest(range(0, len(x)::int)))::int as place, unnest(x) as piece from c""",
     "case_map": "select p_partkey, upper(p_name) as upper, lower(p_name) as lower, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1:1]) || lower(x[2:])), ' ') as title from part",
+    "sign_checks": f"""with w as (select distinct word, list_transform(range(1, length_grapheme(word) + 1), lambda k: substring_grapheme(word, k, 1)) s from lexicon where word is not null)
+select word, array_to_string(list_reverse(s), '') as back, len(s) > 1 and s[1] = 's' and s[2] = 'h' as begins, coalesce(list_contains(map_extract_value(map {{{_KEYS}}}, s[1]), s[2]), false) as near,
+  case when contains('qwertyuiop', s[1]) then 0 when contains('asdfghjkl', s[1]) then 1 when contains('zxcvbnm', s[1]) then 2 else -1 end::int as row from w""",
     "grapheme_split": "select distinct word, length_grapheme(word)::int as graphemes from wordlist where word is not null",
     "page_links": "select doc_id, unnest(regexp_extract_all(text, '(https?://[\\w./-]+)', 1)) as link from documents",
     "context_padding": f"""with s as (select doc_id, regexp_extract_all(text, '{_W}') ws from documents)

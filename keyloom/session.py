@@ -80,11 +80,3 @@ def drop_settled(spark: SparkSession) -> int:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def small_rows(df: DataFrame, bound: int, what: str) -> list:
-    """All rows of a table proven small: fails, instead of dropping any, where there are more than ``bound``."""
-    rows = df.limit(bound + 1).collect()
-    if len(rows) > bound:
-        raise ValueError(f"{what} has more than {bound} rows; raise the bound or use the distributed path")
-    return rows
