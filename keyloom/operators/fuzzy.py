@@ -90,6 +90,38 @@ def _next_row(before: np.ndarray, typed: np.ndarray, sign: np.ndarray, back: np.
     return now
 
 
+def _next_band(before: np.ndarray, typed: np.ndarray, asked: np.ndarray, sign: np.ndarray, back: np.ndarray, t: int, lookup: Lookup, other: np.ndarray, beside: np.ndarray | None) -> np.ndarray:
+    """As ``_next_row``, for the cells beside the diagonal only: column j stands for cell t - reach + j of row t.
+
+    A cell further from the diagonal than the reach costs more than the limit, and no cell within the limit goes back to
+    one beyond it, so these cells count as infinite.
+    """
+    insert, delete, substitute = (lookup.insert_start, lookup.delete_start, lookup.substitute_start) if t == 1 else (lookup.insert, lookup.delete, lookup.substitute)
+    wide, reach = typed.shape[1] - 1, before.shape[1] // 2
+    now = np.full_like(before, np.inf)
+    last = None
+    for j in range(max(0, reach - t), min(2 * reach, wide + reach - t) + 1):
+        i = t - reach + j
+        if i == 0:
+            now[:, j] = t * insert
+            continue
+        w = typed[asked, i]
+        step = np.full(len(w), substitute)
+        if beside is not None:
+            step[beside[sign, w]] = lookup.substitute_near
+        if t > 1 and i > 1:
+            step[(back == w) & (sign == (typed[asked, i - 1] if last is None else last))] = lookup.transpose
+        step[sign == other[w]] = lookup.equal_ignoring_case
+        step[sign == w] = lookup.equal
+        step += before[:, j]
+        if j < 2 * reach:
+            np.minimum(step, before[:, j + 1] + insert, out=step)
+        if j:
+            np.minimum(step, now[:, j - 1] + delete, out=step)
+        now[:, j], last = step, w
+    return now
+
+
 class Tree:
     """Distinct words as a prefix tree in arrays. The words lie sorted by their signs, so a node's words are one run."""
 
@@ -138,7 +170,12 @@ class Tree:
         if prefixes and len(empty := asked[n[asked] == 0]):
             runs(empty, np.full(len(empty), self.filled), np.full(len(empty), count), np.zeros(len(empty)))
             asked = asked[n[asked] > 0]
-        stack = [(0, asked, np.zeros(len(asked), np.int64), _first_row(len(asked), left.shape[1] - 1, lookup), np.zeros(len(asked), bool))]
+        reach = max(left.shape[1] - 1, len(self.levels))
+        if lookup.reach() is not None:
+            reach = min(reach, lookup.reach())
+        start = np.full((len(asked), 2 * reach + 1), np.inf)
+        start[:, reach:] = _first_row(len(asked), reach, lookup)
+        stack = [(0, asked, np.zeros(len(asked), np.int64), start, np.zeros(len(asked), bool))]
         while stack:
             t, asked, node, row, first = stack.pop()
             if t == len(self.levels) or not len(asked):
@@ -153,14 +190,15 @@ class Tree:
             child = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts - begin[node], counts)
             t, asked, first = t + 1, asked[at], first[at]
             size = n[asked]
-            now = _next_row(row[at], left[asked], signs[child], backs[child], t, lookup, other, beside)
+            now = _next_band(row[at], left, asked, signs[child], backs[child], t, lookup, other, beside)
             if t == 1 and left.shape[1] > 1:
                 w = left[asked, 1]
                 first = ((signs[child] == w) | (signs[child] == other[w])) & (size > 0)
-            whole = now[np.arange(len(asked)), size]
+            place = size - t + reach  # of the cell at the typed word's end
+            whole = np.where(abs(size - t) <= reach, now[np.arange(len(asked)), np.clip(place, 0, 2 * reach)], np.inf)
             hit = np.flatnonzero((own[child] >= 0) & (whole <= limit))
             found.append((asked[hit], own[child[hit]], whole[hit], np.zeros(len(hit), bool)))
-            on = np.where(t < size, now[np.arange(len(asked)), np.minimum(t, left.shape[1] - 1)], whole) < limit
+            on = np.where(t < size, now[:, reach], whole) < limit
             if prefixes:
                 below = np.flatnonzero(on & first & (size == t))
                 runs(asked[below], heads[child[below]] + (own[child[below]] >= 0), ends[child[below]], whole[below])
