@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -104,7 +104,8 @@ OPENERS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」"
 CLOSERS = "”»›」』）)]》〉】"
 _HARD = "!?！？。．｡؟।॥።፧፨۔‼⁇⁈⁉;;"
 _SPAN = re.compile("[.…!?！？。．｡؟।॥።፧፨۔‼⁇⁈⁉;;]+")
-_PARTING = re.compile(r"[\s“„”«»‹›\"「」『』（）()\[\]—–/…。！？．｡、，：।።]")
+#: Signs besides blanks that part words.
+_PARTING = frozenset('“„”«»‹›"「」『』（）()[]—–/…。！？．｡、，：।።')
 _QUOTE = re.compile("[" + re.escape("".join(OPENERS) + CLOSERS + '"“»«”') + "]")
 _NEXT = re.compile(r"\S")
 _FIRST = re.compile(r"[¿¡\"“„«»「『（(\[‹—–\-\s]*([^\W_]+)?")
@@ -184,7 +185,7 @@ def marks(text: str) -> Iterator[Mark]:
             while end and text[end - 1].isspace():
                 end -= 1
             at = end
-            while at > token and not _PARTING.match(text[at - 1]):  # the word's own begin; never behind one known before
+            while at > token and (c := text[at - 1]) not in _PARTING and not c.isspace():  # the word's own begin, never before a known one
                 at -= 1
             before, token = text[at:end].lower(), at
         while next_span < len(spans) and spans[next_span][0] < start:
@@ -212,10 +213,9 @@ def _ending(word: str) -> str:
     return word[-2:] if word and _UNSPACED.match(word[-1]) else word
 
 
-def count_events(block: str, language: str, held: Counter) -> None:
-    """Adds the (language, kind, word, outcome) events of one block to a counter."""
-    for w, n in Counter(_LETTERS.findall(block.lower())).items():
-        held[language, "w", w, ""] += n
+def count_events(block: str, language: str, held: Counter, words: dict[str, Counter]) -> None:
+    """Adds the (language, kind, word, outcome) events of one block to a counter, and its words to those of a language."""
+    words[language].update(_LETTERS.findall(block.lower()))
     if first := _FIRST.match(block)[1]:
         held[language, "s", first.lower(), ""] += 1
     for m in marks(block):
@@ -457,7 +457,11 @@ def _parse(model):
         def made(columns: dict[str, list], size: int) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
+        words: dict[str, Counter[str]] = defaultdict(Counter)
+
         def flush() -> pa.RecordBatch:
+            held.update({(language, "w", w, ""): n for language, own in words.items() for w, n in own.items()})
+            words.clear()
             columns = dict(zip(("language", "kind", "word", "outcome"), map(list, zip(*held)))) | {"n": list(held.values())}
             out = made(columns, len(held))
             held.clear()
@@ -471,7 +475,7 @@ def _parse(model):
                     continue
                 told = languages_of(own, tongues)
                 for block, language in zip(own, told):
-                    count_events(block, language, held)
+                    count_events(block, language, held, words)
                 rows.append(row)
                 docs.append(doc)
                 parts.append(own)
@@ -479,9 +483,9 @@ def _parse(model):
                 row += 1
             if rows:
                 yield made({"kl_row": rows, "kl_doc": docs, "kl_blocks": parts, "kl_languages": languages}, len(rows))
-            if len(held) >= COUNTED:
+            if len(held) + sum(map(len, words.values())) >= COUNTED:
                 yield flush()
-        if held:
+        if held or words:
             yield flush()
 
     return run
