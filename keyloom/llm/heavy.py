@@ -87,7 +87,7 @@ def _pieces(parts: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
     data = []
     for x in parts.values():
         own = np.flatnonzero(x[:, BITS])
-        data.append(pack(narrow(own), x[own].reshape(-1)))
+        data.append(pack(narrow(own), x[own].reshape(-1), planes=True))
     columns = [pa.array([r for r, _ in parts], pa.int32()), pa.array([p for _, p in parts], pa.int32()), pa.array(data, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["kl_row", "kl_piece", "kl_counters"])
 

@@ -7,16 +7,15 @@ import zlib
 import numpy as np
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays in one compressed value: their types and lengths, then their bytes, those of wide numbers plane by plane."""
-    head = ";".join(f"{a.dtype.str},{len(a)}" for a in arrays).encode()
-    return zlib.compress(len(head).to_bytes(4, "little") + head + b"".join(_planes(a) for a in arrays), 1)
+def pack(*arrays: np.ndarray, planes: bool = False) -> bytes:
+    """Arrays in one compressed value: their types and lengths, then their bytes; with ``planes``, which suits wide numbers
+    that are mostly small, all first bytes, then all second ones."""
+    head = ";".join(f"{a.dtype.str},{len(a)},{planes:d}" for a in arrays).encode()
+    return zlib.compress(len(head).to_bytes(4, "little") + head + b"".join(_planes(a) if planes else np.ascontiguousarray(a).tobytes() for a in arrays), 1)
 
 
 def _planes(a: np.ndarray) -> bytes:
-    """All first bytes, then all second ones: the high bytes of small numbers are zeros in a row."""
-    a = np.ascontiguousarray(a)
-    return a.tobytes() if a.dtype.itemsize == 1 else a.view(np.uint8).reshape(len(a), -1).T.tobytes()
+    return np.frombuffer(a.tobytes(), np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -24,10 +23,13 @@ def unpack(data: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
     out, at = [], 4 + n
     for part in raw[4:at].decode().split(";"):
-        kind, size = part.split(",")
+        kind, size, planes = part.split(",")
         wide = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, int(size) * wide, at)
-        out.append(planes.view(kind) if wide == 1 else np.ascontiguousarray(planes.reshape(wide, -1).T).reshape(-1).view(kind))
+        if planes == "0":
+            out.append(np.frombuffer(raw, np.dtype(kind), int(size), at))
+        else:
+            held = np.frombuffer(raw, np.uint8, int(size) * wide, at).reshape(wide, -1)
+            out.append(np.ascontiguousarray(held.T).reshape(-1).view(kind))
         at += int(size) * wide
     return out
 

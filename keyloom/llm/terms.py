@@ -115,7 +115,7 @@ def _build(partitions: int):
                 lowest = int(count[a:b].min())
                 data.append(pack(
                     np.array([least, lowest], np.int64), narrow(size), np.frombuffer(b"".join(x for x in listed if x), np.uint8), narrow(np.diff(np.append(heads, len(starts)))),
-                    narrow(chunk[starts] - least), narrow(np.diff(np.append(starts, b - a))), (ident[a:b] & (CHUNK - 1)).astype(np.uint16), narrow(count[a:b] - lowest) if int(count[a:b].max()) - lowest < 1 << 32 else count[a:b] - lowest,
+                    narrow(chunk[starts] - least), narrow(np.diff(np.append(starts, b - a))), (ident[a:b] & (CHUNK - 1)).astype(np.uint16), narrow(count[a:b] - lowest) if int(count[a:b].max()) - lowest < 1 << 32 else count[a:b] - lowest, planes=True,
                 ))
             own = bucket[firsts]
             yield pa.RecordBatch.from_arrays([pa.array(own // BUCKETS, pa.int32()), pa.array(own, pa.int32()), pa.array(data, pa.binary())], ["kl_part", "kl_bucket", "kl_data"])

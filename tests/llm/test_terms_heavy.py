@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from keyloom.llm import heavy, terms
+from keyloom.llm import heavy, packing, terms
 
 
 def table(spark, rows):
@@ -76,3 +76,11 @@ def test_heavy_edges(spark):
     got = {r["item"]: r.weight for r in heavy.heavy_items(table(spark, rows), "word", "row_id", "word_count", 0.25).collect()}
     assert got == {"a": 100, "b": 100}
     assert heavy.heavy_items(table(spark, rows).limit(0), "word", "row_id", "word_count").count() == 0
+
+
+@pytest.mark.parametrize("planes", [False, True])
+def test_packed_arrays_come_back(planes):
+    own = [np.arange(5), np.zeros(0, np.uint8), np.arange(300, dtype=np.uint16), np.frombuffer(b"abc", np.uint8), np.zeros(0, np.int64), np.array([-(2**62), 2**62])]
+    back = packing.unpack(packing.pack(*own, planes=planes))
+    assert all(a.dtype == b.dtype and a.tolist() == b.tolist() for a, b in zip(own, back)) and len(back) == len(own)
+    assert packing.narrow(np.array([0, 255])).dtype == np.uint8 and packing.narrow(np.array([256])).dtype == np.uint16 and len(packing.narrow(np.zeros(0, np.int64))) == 0
