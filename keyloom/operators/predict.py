@@ -46,7 +46,7 @@ def _folded(tokens):
 def _continuations(asked: DataFrame, entries: DataFrame, level: int, searched: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """Requests with the key of their context, and the words that the user's n-grams of ``level`` go on with."""
     own = entries.filter(F.col("dict_id") == searched[0])
-    grams = store.merged(entries, F.col("entry_type") == level, searched).filter(F.size("tokens") == level)
+    grams = store.merged(entries, level, searched).filter(F.size("tokens") == level)
     head = F.slice("tokens", 1, level - 1)
     valued = own.filter(F.size("tokens") == level - 1).filter(F.col("entry_type") == level - 1 if level > 2 else F.col("entry_type").isin(WORD, SHORTCUT)).select(F.col("tokens").alias("head")).distinct()
     listed = grams.select(head.alias("head"), "text", "frequency", "is_possibly_offensive", "is_hidden").filter(~is_special(F.col("text"))).join(valued, "head", "left_semi")
@@ -74,19 +74,28 @@ def suggestions(
     """
     asked = _prepared(requests)
     wanted = flag(F.col("flags"), 0, 8)
-    told = asked.agg(F.max("levels").alias("levels"), F.max(wanted).alias("top"), F.min(wanted).alias("least")).first()
+    told = asked.agg(F.max("levels").alias("levels"), F.max(wanted).alias("top"), F.min(wanted).alias("least"), F.max(F.col("raw_word") != "").alias("typed")).first()
     columns = ["query_id", "raw_word", "allow_offensive", "show_hidden"]
     entries = entries if stored else settled(entries)  # read several times below
-    singles = settled(store.merged(entries, WORD, searched).select("text", "frequency", "is_possibly_offensive", "is_hidden"))
-    typed = asked.filter("raw_word <> ''").select(*columns)
     near = session.near_keys
-    found = _scored(fuzzy_matches(typed, singles, session.lookup, near, mode, top=told.top if told.least else 0), mode, True)
-    phrases = entries.filter((F.col("entry_type") == SHORTCUT) & F.col("dict_id").isin(*searched)).select(F.col("text").alias("raw_word"), "shortcut_phrase")
-    found = found.unionByName(typed.join(phrases, "raw_word").select("query_id", F.col("shortcut_phrase").alias("text"), F.lit(1.0).alias("confidence")))
+    found = asked.sparkSession.createDataFrame([], "query_id STRING, text STRING, confidence DOUBLE").withColumn("query_id", F.col("query_id").cast(asked.schema["query_id"].dataType))
+    if told.typed:
+        singles = settled(store.merged(entries, WORD, searched).select("text", "frequency", "is_possibly_offensive", "is_hidden"))
+        typed = asked.filter("raw_word <> ''").select(*columns)
+        found = _scored(fuzzy_matches(typed, singles, session.lookup, near, mode, top=told.top if told.least else 0), mode, True)
+        phrases = entries.filter((F.col("entry_type") == SHORTCUT) & F.col("dict_id").isin(*searched)).select(F.col("text").alias("raw_word"), "shortcut_phrase")
+        found = found.unionByName(typed.join(phrases, "raw_word").select("query_id", F.col("shortcut_phrase").alias("text"), F.lit(1.0).alias("confidence")))
     for level in range(2, (told.levels or 1) + 1):
         own, listed = _continuations(asked.filter(F.col("levels") >= level), entries, level, searched)
-        matches = fuzzy_matches(own.select(*columns, "head"), settled(listed), session.lookup, near, mode, ("head",))
-        found = found.unionByName(_scored(matches, mode, filter_ngrams))
+        own, listed = own.select(*columns, "head"), settled(listed)
+        parts = [(own, listed)]
+        if told.least and mode == SUGGEST:  # nothing typed: all words that may follow are alike but for their frequency
+            kinds = ["is_possibly_offensive", "is_hidden"] if filter_ngrams else []
+            order = Window.partitionBy("head", *kinds).orderBy(F.desc(confidence(F.lit(1.0), F.col("frequency"))), "text")
+            best = listed.filter("frequency > 0").withColumn("kl_rank", F.row_number().over(order)).filter(F.col("kl_rank") <= told.top).drop("kl_rank")
+            parts = [(own.filter("raw_word = ''"), best), *([(own.filter("raw_word <> ''"), listed)] if told.typed else [])]
+        for asking, words in parts:
+            found = found.unionByName(_scored(fuzzy_matches(asking, words, session.lookup, near, mode, ("head",)), mode, filter_ngrams))
     # One exchange by request serves both the greatest confidence of a text and the ranks.
     best = found.repartition("query_id").groupBy("query_id", "text").agg(F.max("confidence").alias("confidence"))
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "text")))

@@ -113,11 +113,11 @@ def merged(entries: DataFrame, entry_type: Column | int, searched: tuple[int, ..
     frequent = with_frequency(own, stats(own))
     here = frequent.filter(F.col("entry_type") == entry_type) if isinstance(entry_type, int) else frequent.filter(entry_type)
     keys = here.select("tokens", "entry_type", F.lit(None).cast("int").alias("present"), "score", "frequency", "is_possibly_offensive", "is_hidden", "text")
-    marks = presence(own)
-    if isinstance(entry_type, int):
-        marks = marks.filter(F.size("tokens") == (entry_type if entry_type > 0 else 1)).withColumn("entry_type", F.lit(entry_type))
+    if isinstance(entry_type, int):  # only beginnings of the one length are needed
+        size = entry_type if entry_type > 0 else 1
+        marks = own.filter(F.size("tokens") >= size).select("dict_id", F.slice("tokens", 1, size).alias("tokens")).distinct().withColumn("entry_type", F.lit(entry_type))
     else:
-        marks = marks.withColumn("entry_type", F.size("tokens"))
+        marks = presence(own).withColumn("entry_type", F.size("tokens"))
     rows = keys.unionByName(
         marks.select("tokens", "entry_type", F.col("dict_id").alias("present"), F.lit(None).cast("bigint").alias("score"), F.lit(None).cast("double").alias("frequency"), F.lit(None).cast("boolean").alias("is_possibly_offensive"), F.lit(None).cast("boolean").alias("is_hidden"), F.lit(None).cast("string").alias("text"))
     )

@@ -309,3 +309,15 @@ def test_rest_stands_without_llm():
     for p in (root / "keyloom").rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "keyloom.llm" not in p.read_text(encoding="utf-8"), p
+
+
+def test_limits_lose_nothing(spark):
+    """With and without the limits on what may follow: the same best words, offensive ones filtered or not."""
+    rng = random.Random(9)
+    pool = ["".join(rng.choice("abAé") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    rows = [word(w, rng.randint(0, 9), d, rng.random() < 0.3, rng.random() < 0.2) for d in (0, 1) for w in sorted(set(rng.sample(pool, 40)))]
+    rows += [(0, 2, [h, w], rng.randint(1, 5), rng.random() < 0.3, False, None) for h in ("go", "Go") for w in sorted(set(pool))] + [word("go", 1, 0), word("Go", 1, 0)]
+    asked = lambda count: [(k, w, ["go"], Flags(count, 2, offensive=k % 2 == 0, hidden=k % 3 == 0).pack()) for k, w in enumerate(["", "a", "b", "é", "ab", "", "A", "aa"])]
+    for more in ({}, {"filter_ngrams": True}):
+        every, few = suggest(spark, rows, asked(0), **more), suggest(spark, rows, asked(4), **more)
+        assert few == {k: v[:4] for k, v in every.items()} and len(few) == 8
