@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.config import SHORTCUT, SOS, SPELL, SUGGEST, Flags, LexiconConfig, Session
 from keyloom.functions import text as fn
 from keyloom.operators import fuzzy, lexicon, ngrams, predict, store, syllables, wordlist
-from keyloom.session import place_for, table
+from keyloom.session import place_for, settled, table
 from keyloom.sources import fldic, rawtext, unigrams
 
 JOINED = " "
@@ -96,12 +96,12 @@ def ngram_train(spark, d):
 
 
 def penalised_scores(spark, d):
-    counts = _counts(spark, d)
+    counts = settled(_counts(spark, d))
     return _named(ngrams.penalised(ngrams.train(counts), ngrams.penalties(counts)))
 
 
 def reload_clamp(spark, d):
-    counts = _counts(spark, d)
+    counts = settled(_counts(spark, d))
     out = ngrams.reloaded(ngrams.penalised(ngrams.train(counts), ngrams.penalties(counts)))
     return store.stats(out).select("entry_type", "total_score", "vocab_size")
 
@@ -124,7 +124,7 @@ def ngram_find(spark, d):
 
 
 def context_ignoring_case(spark, d):
-    entries = ngrams.train(_counts(spark, d)).filter("entry_type = 2")
+    entries = settled(ngrams.train(_counts(spark, d)).filter("entry_type = 2"))
     keys = entries.select(F.transform("tokens", F.upper).alias("tokens")).distinct()
     return store.find(entries, keys, ignoring_case=True).select(F.array_join("tokens", JOINED).alias("ngram"), F.array_join("wanted", JOINED).alias("wanted"))
 

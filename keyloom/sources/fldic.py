@@ -63,9 +63,10 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
 def parse(lines: DataFrame, dict_id: int | Column = 1) -> DataFrame:
     """Entries of numbered lines (``path, line_no, line``).
 
-    A key given twice keeps its last score, and any flag it ever had. n-grams with an id that no word has are dropped;
-    see ``unresolved``.
+    A key given twice keeps its last score, and any flag it ever had. n-grams with an id that no word has, or that is no
+    number, are dropped; see ``unresolved``. The lines are read several times, so they are written down once.
     """
+    lines = settled(lines)
     number = F.lit(dict_id) if isinstance(dict_id, int) else dict_id
     rows = sections(lines).withColumn("f", F.split("line", "\t"))
     listed = rows.filter("section = '[words]'").select(
@@ -89,20 +90,34 @@ def parse(lines: DataFrame, dict_id: int | Column = 1) -> DataFrame:
     )
 
 
+def _looked_up(rows: DataFrame, parts: str, keys: DataFrame, on: list[str], key: str, value: str, most: int) -> DataFrame:
+    """``rows`` with ``value`` of each element of the array ``parts`` as the array ``kl_values``, nulls where there is none.
+
+    One left join a place of the longest array: the rows are never taken apart, and stay as they are where ``keys`` (one
+    row a ``key``) is small enough for the planner to send it to all.
+    """
+    for k in range(most):
+        own = keys.select(*on, F.col(key).alias(f"kl_key{k}"), F.col(value).alias(f"kl_value{k}"))
+        rows = rows.withColumn(f"kl_key{k}", F.get(parts, F.lit(k))).join(own, [*on, f"kl_key{k}"], "left").drop(f"kl_key{k}")
+    found = F.array(*(F.col(f"kl_value{k}") for k in range(most))) if most else F.array()
+    return rows.withColumn("kl_values", F.slice(found, F.lit(1), F.size(parts))).drop(*(f"kl_value{k}" for k in range(most)))
+
+
 def _resolved(rows: DataFrame, listed: DataFrame) -> DataFrame:
     """n-gram lines with their words: ids are the words' places in their section."""
     placed = numbered(listed.select("path", "line_no", "text"), "path", "line_no")
     first = placed.groupBy("path").agg(F.min("id").alias("first"))
     ids = placed.join(F.broadcast(first), "path").select("path", (F.col("id") - F.col("first") + 1).alias("id"), "text")  # a row a file
-    members = rows.filter("section = '[ngrams]'").select("path", "line_no", F.get("f", F.lit(1)).cast("bigint").alias("score"), F.posexplode(F.split(F.col("f")[0], ",")).alias("pos", "id"))
-    own = members.withColumn("id", F.trim("id").cast("bigint")).join(ids, ["path", "id"], "left").withColumn("token", F.coalesce(id_to_special(F.col("id")), F.col("text")))
-    made = own.groupBy("path", "line_no", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("m"), F.count_if(F.col("token").isNull()).alias("missing"))
-    return made.withColumn("tokens", F.col("m.token"))
+    grams = rows.filter("section = '[ngrams]'").select("path", "line_no", F.get("f", F.lit(1)).cast("bigint").alias("score"), F.transform(F.split(F.col("f")[0], ","), lambda x: F.trim(x).try_cast("bigint")).alias("ids"))
+    most = grams.agg(F.max(F.size("ids"))).first()[0] or 0
+    found = _looked_up(grams, "ids", ids, ["path"], "id", "text", most)
+    tokens = F.zip_with("ids", "kl_values", lambda k, w: F.coalesce(id_to_special(k), w))
+    return found.withColumn("tokens", tokens).withColumn("missing", F.size(F.filter("tokens", lambda x: x.isNull()))).drop("ids", "kl_values")
 
 
 def unresolved(lines: DataFrame) -> int:
     """Number of n-gram lines with an id that no word has."""
-    rows = sections(lines).withColumn("f", F.split("line", "\t"))
+    rows = sections(settled(lines)).withColumn("f", F.split("line", "\t"))
     listed = rows.filter("section = '[words]'").select("path", "line_no", F.col("f")[0].alias("text"))
     return _resolved(rows, listed).filter("missing > 0").count()
 
@@ -118,17 +133,18 @@ def to_lines(entries: DataFrame) -> DataFrame:
 
     A word that begins with ``#`` or ``[`` or holds a tab or a line end can't be written in this format and is an error.
     """
+    entries = settled(entries)  # read three times below
     bad = F.col("text").rlike(r"^[#\[]|[\t\r\n]") | (F.trim("text") == "")
     listed = numbered(entries.filter(F.col("entry_type") == WORD).select("text", "score", "is_possibly_offensive", "is_hidden"), "text")
     flags = F.concat(F.when(F.col("is_possibly_offensive"), "p").otherwise(""), F.when(F.col("is_hidden"), "h").otherwise(""))
     word = F.concat_ws("\t", "text", F.col("score").cast("string"), F.when(flags != "", flags))
     words = listed.select(F.lit("[words]").alias("section"), "id", F.when(bad, F.raise_error(F.concat(F.lit("can't be written: "), F.col("text"))).cast("string")).otherwise(word).alias("line"))
     grams = entries.filter(F.col("entry_type") >= 2)
-    members = grams.select("tokens", "score", F.posexplode("tokens").alias("pos", "text"))
-    known = members.join(listed.select("text", "id"), "text", "left").withColumn("id", F.coalesce(special_to_id(F.col("text")).cast("bigint"), F.col("id")))
-    lists = known.groupBy("tokens", "score").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("m"), F.count_if(F.col("id").isNull()).alias("missing"))
-    kept = lists.filter((F.col("missing") == 0) & F.exists("m", lambda x: x["id"] >= 0))
-    gram = F.concat_ws("\t", F.array_join(F.transform("m", lambda x: x["id"].cast("string")), ","), F.col("score").cast("string"))
+    most = grams.agg(F.max(F.size("tokens"))).first()[0] or 0
+    found = _looked_up(grams.select("tokens", "score"), "tokens", listed, [], "text", "id", most)
+    lists = found.withColumn("m", F.zip_with("tokens", "kl_values", lambda w, k: F.coalesce(special_to_id(w).cast("bigint"), k)))
+    kept = lists.filter(F.forall("m", lambda x: x.isNotNull()) & F.exists("m", lambda x: x >= 0))
+    gram = F.concat_ws("\t", F.array_join(F.transform("m", lambda x: x.cast("string")), ","), F.col("score").cast("string"))
     short = entries.filter(F.col("entry_type") == SHORTCUT)
     return words.unionByName(kept.select(F.lit("[ngrams]").alias("section"), F.lit(None).cast("bigint").alias("id"), gram.alias("line"))).unionByName(
         short.select(F.lit("[shortcuts]").alias("section"), F.lit(None).cast("bigint").alias("id"), F.concat_ws("\t", "text", "shortcut_phrase").alias("line"))
