@@ -13,10 +13,12 @@ import heapq
 import math
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,8 +117,10 @@ Z Ζ Ꮓ ꓜ
 _BLANKS = {c: " " for c in (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)}
 #: Best paths that a search keeps.
 PATHS = 8
-#: Most frequent n-grams that the scores are made of; letters are known from all words, whatever this bound.
+#: Most n-grams of the models that are sent to every executor; more are joined to what blocks of texts ask for.
 MODEL_ROWS = 500_000
+#: About the bytes of the texts that are scored together with their own part of larger models.
+BLOCK_BYTES = 500_000
 #: Most bytes of reference words that a task holds; with more, the pieces follow each other.
 REFERENCE_BYTES = 4_000_000
 
@@ -188,14 +192,18 @@ def _readings(cluster: str) -> dict[str, tuple[str, ...]]:
 
 
 class Model:
-    """Trigram scores of clusters, by script, with back-off to bigrams and single clusters (``letters``: counts of all)."""
+    """Trigram scores of clusters, by script, with back-off to bigrams and single clusters (``letters``: counts of all).
 
-    def __init__(self, grams: dict[tuple[str, str, str], int], letters: dict[str, int] | None = None):
+    ``pairs``: counts of the bigrams, where ``grams`` is only a part of the trigrams.
+    """
+
+    def __init__(self, grams: dict[tuple[str, str, str], int], letters: dict[str, int] | None = None, pairs: dict[tuple[str, str], int] | None = None):
         self.three = grams
-        self.two: dict[tuple[str, str], int] = defaultdict(int)
+        self.two: dict[tuple[str, str], int] = defaultdict(int, pairs or {})
         self.one: dict[str, int] = defaultdict(int, letters or {})
         for (a, b, c), n in grams.items():
-            self.two[a, b] += n
+            if pairs is None:
+                self.two[a, b] += n
             if not letters:
                 self.one[c] += n
         self.all = sum(self.one.values()) or 1
@@ -216,10 +224,8 @@ class Model:
         return math.log((n + 2 * low) / (self.two.get((a, b), 0) + 2))
 
 
-def scored_readings(word: str, models: dict[str, Model], paths: int = PATHS, words: list[str] | None = None) -> list[tuple[float, str]]:
-    """(score, spelling) of the best ``paths`` spellings of a word, each within one script, best first; scripts that
-    can't spell it have none. Where there are more, those that are one of the sorted ``words`` come too, with their score.
-    """
+def _ways(word: str, models: dict[str, Model]) -> dict[str, list[tuple[str, ...]]]:
+    """Script to the options of a word's places; scripts that can't spell it are left out."""
     clusters = _clusters(plain(word))
     ways = {}
     for script, model in models.items():
@@ -231,7 +237,20 @@ def scored_readings(word: str, models: dict[str, Model], paths: int = PATHS, wor
         else:
             if options:
                 ways[script] = options
-    if len(ways) == 1 and all(len(x) == 1 for own in ways.values() for x in own):
+    return ways
+
+
+def _settles(ways: dict[str, list[tuple[str, ...]]]) -> bool:
+    """Whether there is one spelling only, so that no score is asked for."""
+    return len(ways) == 1 and all(len(x) == 1 for own in ways.values() for x in own)
+
+
+def scored_readings(word: str, models: dict[str, Model], paths: int = PATHS, words: list[str] | None = None) -> list[tuple[float, str]]:
+    """(score, spelling) of the best ``paths`` spellings of a word, each within one script, best first; scripts that
+    can't spell it have none. Where there are more, those that are one of the sorted ``words`` come too, with their score.
+    """
+    ways = _ways(word, models)
+    if _settles(ways):
         return [(0.0, "".join(x[0] for own in ways.values() for x in own))]
     found: list[tuple[float, str]] = []
     for script, way in ways.items():
@@ -275,23 +294,80 @@ def _grams(words: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["script", "a", "b", "c"])
 
 
-def train(reference: DataFrame, word: str) -> dict[str, Model]:
+def train(reference: DataFrame, word: str) -> tuple[dict[str, Model], DataFrame | None]:
     """n-gram models of all reference words, by script.
 
-    The counts come from all rows; of the n-grams the ``MODEL_ROWS`` most frequent are kept (they only rank spellings),
-    the letters, at most one a character of Unicode with its marks, are kept all.
+    Where there are more than ``MODEL_ROWS`` n-grams, the models know the letters only (at most one a character of Unicode
+    with its marks), and the counts come as a table ``script, a, b, c, n`` (of the pair where ``c`` is empty); else it is None.
     """
     words = reference.select(reference[word].alias("kl_word")).filter("kl_word IS NOT NULL AND kl_word <> ''").distinct()
-    counts = words.mapInPandas(_grams, "script STRING, a STRING, b STRING, c STRING").groupBy("script", "a", "b", "c").count()
-    grams: dict[str, dict[tuple[str, str, str], int]] = defaultdict(dict)
-    for r in counts.orderBy(F.desc("count"), "script", "a", "b", "c").limit(MODEL_ROWS).collect():
-        grams[r.script][r.a, r.b, r.c] = r["count"]
+    counts = settled(words.mapInPandas(_grams, "script STRING, a STRING, b STRING, c STRING").groupBy("script", "a", "b", "c").agg(F.count("*").alias("n")))
     letters: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in counts.groupBy("script", "c").agg(F.sum("count").alias("n")).collect():
+    for r in counts.groupBy("script", "c").agg(F.sum("n").alias("n")).orderBy("script", "c").collect():
         letters[r.script][r.c] = r.n
-    shared, signs = grams.pop("", {}), letters.pop("", {})
+    signs = letters.pop("", {})
     both = lambda x: {c: signs.get(c, 0) + x.get(c, 0) for c in {*signs, *x}}
-    return {s: Model({**shared, **grams[s]}, both(own)) for s, own in letters.items()} or {"LATIN": Model(shared, dict(signs))}
+    known = {s: both(own) for s, own in letters.items()} or {"LATIN": signs}
+    if counts.count() > MODEL_ROWS:
+        return {s: Model({}, own) for s, own in known.items()}, _with_pairs(counts, list(known))
+    grams: dict[str, dict[tuple[str, str, str], int]] = defaultdict(dict)
+    for r in counts.collect():
+        grams[r.script][r.a, r.b, r.c] = r.n
+    shared = grams.pop("", {})
+    return {s: Model({**shared, **grams[s]}, own) for s, own in known.items()}, None
+
+
+def _with_pairs(counts: DataFrame, scripts: list[str]) -> DataFrame:
+    """Counts as each script's model has them: its own n-grams, else the shared ones; and of their pairs (``c`` empty)."""
+    own = F.col("script") != ""
+    every = counts.select(own.alias("own"), F.explode(F.when(own, F.array("script")).otherwise(F.array(*map(F.lit, scripts)))).alias("script"), "a", "b", "c", "n")
+    three = settled(every.groupBy("script", "a", "b", "c").agg(F.max_by("n", "own").alias("n")))
+    return three.unionByName(three.groupBy("script", "a", "b").agg(F.sum("n").alias("n")).withColumn("c", F.lit("")))
+
+
+def _in_blocks(texts: DataFrame, models: Broadcast, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The settled texts by ``kl_block``, and of each block the counts that its lattices ask for."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("kl_text"))).first()[0] or 0
+    blocks = texts.withColumn("kl_block", F.pmod(F.xxhash64("kl_text"), F.lit(max(tasks, -(-size // BLOCK_BYTES))))).repartition(tasks, "kl_block")
+
+    def asked(block: pd.DataFrame) -> pd.DataFrame:
+        keys: set[tuple[str, str, str, str]] = set()
+        for t in block["kl_text"]:
+            if _settles(ways := _ways(t, models.value)):
+                continue
+            for script, way in ways.items():
+                places = [("^",), ("^",), *way, ("$",)]
+                for k in range(len(places) - 2):
+                    keys.update((script, *x) for x in product(places[k], places[k + 1], (*places[k + 2], "")))
+        out = pd.DataFrame(list(keys), columns=["script", "a", "b", "c"])
+        out.insert(0, "kl_block", block["kl_block"].iloc[0])
+        return out
+
+    keys = blocks.groupBy("kl_block").applyInPandas(asked, "kl_block BIGINT, script STRING, a STRING, b STRING, c STRING")
+    return blocks, settled(keys.join(counts, ["script", "a", "b", "c"])).repartition(tasks, "kl_block")
+
+
+def _spelled(texts: DataFrame, models: Broadcast, counts: DataFrame | None, rows: Callable[[pd.Series, dict[str, Model]], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``rows`` makes of the texts and the models; ``counts``: the part of larger models for each block of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield rows(b["kl_text"], models.value)
+
+    def of_block(block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        grams: dict[str, dict[tuple[str, str, str], int]] = defaultdict(dict)
+        pairs: dict[str, dict[tuple[str, str], int]] = defaultdict(dict)
+        for script, a, b, c, n in zip(*(own[x].tolist() for x in ("script", "a", "b", "c", "n"))):
+            if c:
+                grams[script][a, b, c] = n
+            else:
+                pairs[script][a, b] = n
+        return rows(block["kl_text"], {s: Model(grams[s], m.one, pairs[s]) for s, m in models.value.items()})
+
+    if counts is None:
+        return texts.mapInPandas(run, schema)
+    return texts.groupBy("kl_block").cogroup(counts.groupBy("kl_block")).applyInPandas(of_block, schema)
 
 
 def consistent_forms(df: DataFrame, text: str, reference: DataFrame, word: str) -> DataFrame:
@@ -299,15 +375,16 @@ def consistent_forms(df: DataFrame, text: str, reference: DataFrame, word: str)
 
     A text no script can spell, an empty or a blank one has an empty list.
     """
-    models = df.sparkSession.sparkContext.broadcast(train(reference, word))
+    held, counts = train(reference, word)
+    models = df.sparkSession.sparkContext.broadcast(held)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = models.value
-        for b in batches:
-            yield pd.DataFrame({"kl_text": b["kl_text"], "kl_forms": [readings(t, held) for t in b["kl_text"]]})
+    def rows(texts: pd.Series, own: dict[str, Model]) -> pd.DataFrame:
+        return pd.DataFrame({"kl_text": texts, "kl_forms": [readings(t, own) for t in texts]})
 
     texts = spread(df.select(df[text].alias("kl_text")).filter("kl_text IS NOT NULL"))
-    return texts.mapInPandas(run, "kl_text STRING, kl_forms ARRAY<STRING>")
+    if counts is not None:
+        texts, counts = _in_blocks(settled(texts), models, counts)
+    return _spelled(texts, models, counts, rows, "kl_text STRING, kl_forms ARRAY<STRING>")
 
 
 def disguised_words(df: DataFrame, text: str, reference: DataFrame, word: str) -> DataFrame:
@@ -321,24 +398,25 @@ def disguised_words(df: DataFrame, text: str, reference: DataFrame, word: str) -
     known = reference_words(reference, word)
     rows = unlisted(df, text, known)
     spark = df.sparkSession
-    models = spark.sparkContext.broadcast(train(reference, word))
+    held, counts = train(reference, word)
+    models = spark.sparkContext.broadcast(held)
 
-    def run(piece):
-        def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held, words = models.value, piece.value
-            for b in batches:
-                found = [(t, score, form) for t in b["kl_text"] for score, form in scored_readings(t, held, PATHS, words)]
-                yield pd.DataFrame(found, columns=["kl_text", "kl_score", "kl_form"])
+    def found(piece: Broadcast) -> Callable[[pd.Series, dict[str, Model]], pd.DataFrame]:
+        def of(texts: pd.Series, own: dict[str, Model]) -> pd.DataFrame:
+            hits = [(t, score, form) for t in texts for score, form in scored_readings(t, own, PATHS, piece.value)]
+            return pd.DataFrame(hits, columns=["kl_text", "kl_score", "kl_form"])
 
         return of
 
     pieces = word_pieces(reference.select(reference[word].alias("w")).filter("w IS NOT NULL AND w <> ''").distinct(), REFERENCE_BYTES)
     texts = spread(rows.select(rows[text].alias("kl_text")))
-    texts = texts if len(pieces) == 1 else settled(texts)
+    texts = texts if len(pieces) == 1 and counts is None else settled(texts)
+    if counts is not None:
+        texts, counts = _in_blocks(texts, models, counts)
     forms = None
     for piece in pieces:
         words = sorted(r.w for r in piece.collect())  # at most REFERENCE_BYTES
-        part = texts.mapInPandas(run(spark.sparkContext.broadcast(words)), "kl_text STRING, kl_score DOUBLE, kl_form STRING")
+        part = _spelled(texts, models, counts, found(spark.sparkContext.broadcast(words)), "kl_text STRING, kl_score DOUBLE, kl_form STRING")
         forms = part if forms is None else forms.unionByName(part)
     hit = forms.join(known, "kl_form").groupBy("kl_text").agg(F.min_by("kl_form", F.struct(-F.col("kl_score"), "kl_form")).alias("kl_form"))
     return rows.join(hit, rows[text] == hit["kl_text"]).drop("kl_text")

@@ -46,6 +46,41 @@ def test_many_paths_lose_no_reference_word(spark, monkeypatch):
         assert got == {"二ロ力工夕卜ハ": "二口力工夕卜ハ", "二口カ工タ卜ハ": "二口力工夕卜ハ", "ニロ力エ夕トア": "二ロカエタトア"}
 
 
+def test_scores_count_every_ngram(spark, monkeypatch):
+    """Models that are too large to be sent choose among look-alike words as whole ones do; held against plain counts."""
+    rng = random.Random(5)
+    kana = ["".join(rng.choice("ニ二ロ口カ力エ工") for _ in range(rng.randint(3, 5))) for _ in range(150)]
+    listed = sorted({*kana, *WORDS, "1-2", "a-1", "21", "カ-1"})
+    other = dict(zip("ニ二ロ口カ力エ工", "二ニ口ロ力カ工エ"))
+    asked = sorted({"".join(rng.choice((c, other[c])) for c in w) for w in kana} - set(listed)) + ["vаса", "1‐2", "а-1"]
+    grams, letters = {}, {}
+    for w in listed:
+        script = next((x for x in map(lookalike.script_of, w) if x), "")
+        signs = ["^", "^", *lookalike._clusters(w), "$"]
+        for k in range(len(signs) - 2):
+            own = grams.setdefault(script, {})
+            own[tuple(signs[k : k + 3])] = own.get(tuple(signs[k : k + 3]), 0) + 1
+            letters.setdefault(script, {}).setdefault(signs[k + 2], []).append(1)
+    one = {s: {c: len(letters[""].get(c, [])) + len(x.get(c, [])) for c in {*letters[""], *x}} for s, x in letters.items() if s}
+    whole = {s: lookalike.Model({**grams[""], **grams[s]}, one[s]) for s in sorted(one)}
+    best, forms, several = {}, {}, 0
+    for t in asked:
+        hits = [(-x, form) for x, form in lookalike.scored_readings(t, whole, 10_000) if form in listed]
+        best |= {t: min(hits)[1]} if hits else {}
+        several += len({form for _, form in hits}) > 1
+        forms[t] = lookalike.readings(t, whole)
+    assert len(best) == len(asked) and several > 20
+    reference = spark.createDataFrame([(w,) for w in listed], "word STRING")
+    for most, block, held in ((500_000, 500_000, 4_000_000), (3, 500_000, 4_000_000), (3, 40, 300)):
+        monkeypatch.setattr(lookalike, "MODEL_ROWS", most)
+        monkeypatch.setattr(lookalike, "BLOCK_BYTES", block, raising=False)
+        monkeypatch.setattr(lookalike, "REFERENCE_BYTES", held)
+        assert {r.word: r.kl_form for r in lookalike.disguised_words(rows(spark, [*asked, None, ""]), "word", reference, "word").collect()} == best
+        assert {r.kl_text: r.kl_forms for r in lookalike.consistent_forms(rows(spark, asked), "word", reference, "word").collect()} == forms
+    empty = rows(spark, [])
+    assert lookalike.disguised_words(empty, "word", reference, "word").count() == 0 and lookalike.consistent_forms(empty, "word", reference, "word").count() == 0
+
+
 def test_viterbi_stays_in_one_script():
     grams = {}
     for w in ("рос", "сор"):
